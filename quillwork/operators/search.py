@@ -245,7 +245,7 @@ def rejections(queries: DataFrame, results: DataFrame) -> DataFrame:
     return queries.select("query_id").join(first, "query_id", "left").select(
         "query_id", (F.col("score").isNull() | F.coalesce(low, F.lit(False))).alias("rejected"),
         F.when(F.col("score").isNull(), "检索无结果").when(low, F.concat(
-            F.lit("检索置信度低（"), F.format_number("score", "0.00"), F.lit(" < -5.0）"))).otherwise("").alias("reason"))
+            F.lit("检索置信度低（"), F.format_string("%.2f", "score"), F.lit(" < -5.0）"))).otherwise("").alias("reason"))
 
 
 def org_search(queries: DataFrame, chunks: DataFrame, scorer: Scorer = lexical_scorer) -> DataFrame:

@@ -62,8 +62,9 @@ def _block_join(queries: DataFrame, chunks: DataFrame, keys: list[str], k: int,
     left = queries.join(grid, keys).select(
         *keys, "query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.col("_qb")).cast("int").alias("_j"),
         F.explode(F.sequence(F.lit(0), F.col("_cb") - 1)).alias("_i"))
+    # fresh names on this side: both sides may come from one table
     right = chunks.join(grid, keys).select(
-        *keys, "chunk_id", "embedding", F.pmod(F.xxhash64("chunk_id"), F.col("_cb")).cast("int").alias("_i"),
+        *[F.col(c).alias(c) for c in (*keys, "chunk_id", "embedding")], F.pmod(F.xxhash64("chunk_id"), F.col("_cb")).cast("int").alias("_i"),
         F.explode(F.sequence(F.lit(0), F.col("_qb") - 1)).alias("_j"))
     by = [*keys, "_i", "_j"]
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(
