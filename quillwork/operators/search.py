@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from ..functions.text import fn, sql_call
 from .scan import top_per_group
@@ -28,6 +28,11 @@ HIT_CHARS, PREVIEW_CHARS, PREVIEW_CHUNKS, PRIOR_CHARS = 600, 500, 20, 200
 SCORE_DIGITS = 9   # ranks use scores rounded to this, so equal texts tie in every engine
 
 Scorer = Callable[[Column, Column], Column]
+Tokenizer = Callable[[str], Column]   # column name -> array of words
+
+
+def default_tokenizer(column: str) -> Column:
+    return fn("tokenize", t=column)
 
 
 def scope(files: DataFrame, user: int | None = None, org: int | None = None, directory: int | None = None) -> DataFrame:
@@ -58,17 +63,28 @@ def visible_chunks(chunks: DataFrame, files: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- BM25
 
+def batch_tokenizer(make: Callable[[], Callable[[str], list[str]]]) -> Tokenizer:
+    """Wrap a dictionary segmenter as a tokenizer; ``make`` loads it once per Python worker."""
+    @F.pandas_udf(ArrayType(StringType()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cut = make()
+        for batch in batches:
+            yield batch.fillna("").map(cut)
+    return lambda column: run(F.col(column))
+
+
 def passage(table: str = "") -> Column:
     dot = f"{table}." if table else ""
     return F.trim(F.concat_ws(" ", F.coalesce(f"{dot}heading_path", F.lit("")), f"{dot}content"))
 
 
-def query_terms(queries: DataFrame, keys: list[str]) -> DataFrame:
-    tokens = queries.select(*keys, "query_id", F.explode(fn("tokenize", t="question")).alias("term"))
+def query_terms(queries: DataFrame, keys: list[str], tokenizer: Tokenizer = default_tokenizer) -> DataFrame:
+    tokens = queries.select(*keys, "query_id", F.explode(tokenizer("question")).alias("term"))
     return tokens.groupBy(*keys, "query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = CHANNEL_TOP, keys: list[str] | None = None) -> DataFrame:
+def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = CHANNEL_TOP, keys: list[str] | None = None,
+              tokenizer: Tokenizer = default_tokenizer) -> DataFrame:
     """RET-6: best ``k`` chunks per question by BM25 over heading path and content.
 
     ``keys`` are scope columns on both sides; the corpus of a question is its scope.
@@ -77,10 +93,10 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = CHANNEL_TOP, keys:
     happen where the chunk is, so a frequent term never gathers on one task.
     """
     keys = keys or []
-    tokens = chunks.select(*keys, "chunk_id", fn("tokenize", t="trim(concat_ws(' ', coalesce(heading_path, ''), content))").alias("_t"))
+    tokens = chunks.select(*keys, "chunk_id", passage().alias("_p")).select(*keys, "chunk_id", tokenizer("_p").alias("_t"))
     sized = tokens.withColumn("dl", F.size("_t"))
     corpus = sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
-    asked = query_terms(queries, keys)
+    asked = query_terms(queries, keys, tokenizer)
     wanted = asked.select(*keys, "term").distinct()
     found = (sized.select(*keys, "chunk_id", "dl", F.explode("_t").alias("term")).join(wanted, [*keys, "term"], "left_semi")
              .repartition("chunk_id"))

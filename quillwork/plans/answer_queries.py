@@ -275,8 +275,8 @@ def _(fx):
 
 @query("mem1_history", """
     with l as (select * from (select *, row_number() over (partition by session_id order by id desc) as back from {v_qa_log}) where back <= 10)
-    select session_id, id, 0 as part, 'user' as role, query as content from l union all
-    select session_id, id, 1 as part, 'assistant' as role, substring(answer, 1, 800) as content from l""")
+    select session_id, id, cast(0 as bigint) as part, 'user' as role, query as content from l union all
+    select session_id, id, cast(1 as bigint) as part, 'assistant' as role, substring(answer, 1, 800) as content from l""")
 def _(fx):
     return ca.history(fx.v_qa_log, 10)
 

@@ -70,7 +70,7 @@ _ELEMENTS = ("select file_id, idx, case when type = 'table' and idx % 2 = 0 then
 @query("doc4_paginate", f"""
     with e as (select *, {duck_strip('text')} as body from ({_ELEMENTS})),
     p as (select file_id, idx // 20 as slot, coalesce(string_agg(body || chr(10), '' order by idx) filter (where type <> 'table' and body <> ''), '') as text,
-                 count_if(type = 'table') as tables from e group by file_id, idx // 20)
+                 cast(count_if(type = 'table') as bigint) as tables from e group by file_id, idx // 20)
     select file_id, row_number() over (partition by file_id order by slot) - 1 as page_no, text, tables from p where text <> '' or tables > 0""")
 def _(fx):
     return nd.paginate(fx.sql(_ELEMENTS))

@@ -159,7 +159,7 @@ def _(fx):
 
 
 @query("fil4_list_dirs", """
-    select n.n_nationkey as dir_id, n.n_name as name, coalesce(c.n, 0) as file_count, coalesce(c.n, 0) = 0 as deletable
+    select cast(n.n_nationkey as bigint) as dir_id, n.n_name as name, coalesce(c.n, 0) as file_count, coalesce(c.n, 0) = 0 as deletable
     from {nation} n left join (select dir_id, count(*) as n from {v_user_file} where status = 1 group by dir_id) c on c.dir_id = n.n_nationkey""")
 def _(fx):
     dirs = fx.nation.selectExpr("cast(n_nationkey as bigint) as dir_id", "n_name as name")

@@ -55,7 +55,8 @@ def compare(spark, con, name: str, sf_dir: str) -> str:
            if (spark_kinds[c], kinds[c]) not in {
                ("bigint", "NUMBER"), ("bigint", "BIGINT"), ("string", "STRING"), ("string", "VARCHAR"),
                ("double", "NUMBER"), ("double", "DOUBLE"), ("boolean", "bool"), ("boolean", "BOOLEAN")}]
-    note = f" types {odd}" if odd else ""
+    if odd:
+        return f"FAIL types {odd}"
     if len(rows) != len(want):
         return f"FAIL count {len(rows)} != {len(want)} e.g. {rows[:1]} / {want[:1]}"
     bad = [(a, b) for a, b in zip(rows, want) if a != b]
@@ -64,7 +65,7 @@ def compare(spark, con, name: str, sf_dir: str) -> str:
         want_only = set(map(repr, want)) - set(map(repr, rows))
         return (f"FAIL {len(bad)} of {len(rows)} rows differ\n   spark  {sorted(got_only)[:2]}"
                 f"\n   oracle {sorted(want_only)[:2]}")
-    return f"ok {len(rows)}{note}"
+    return f"ok {len(rows)}"
 
 
 def main() -> int:
