@@ -8,6 +8,7 @@ from ..functions.tables import mrr, register_table_functions, rrf_score
 from ..functions.text import REFUSAL_MARKERS, register_functions
 from .answer_queries import _NORMAL, duck_tokens
 from .registry import query
+from .text_queries import _duck_split
 
 _TEXTS = "select doc_id, concat(text, case when doc_id % 4 = 0 then ' 未找到。' when doc_id % 4 = 1 then '？' else '' end) as query from {documents}"
 
@@ -40,10 +41,12 @@ def _(fx):
     return fx.spark.sql("select d.doc_id, count(*) as lines from {d} d, lateral markdown_nodes(d.text) n group by d.doc_id", d=fx.documents)
 
 
-@query("udf2_chunk_text")
+@query("udf2_chunk_text", _duck_split(
+    "list_filter(string_split(regexp_replace(text, '([。！？\\n])', '\\1' || chr(1), 'g'), chr(1)), lambda p: p <> '')",
+    450, "''", 50, "select doc_id, text from {documents}"))
 def _(fx):
     register_table_functions(fx.spark)
-    return fx.spark.sql("select d.doc_id, n.piece_no, n.piece from {d} d, lateral chunk_text(d.text) n", d=fx.documents)
+    return fx.spark.sql("select d.doc_id, cast(n.piece_no as bigint) as piece_no, n.piece from {d} d, lateral chunk_text(d.text) n", d=fx.documents)
 
 
 @query("udf4_rank_aggregates", """
