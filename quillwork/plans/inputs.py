@@ -226,7 +226,7 @@ SPLIT: dict[str, tuple[str, str]] = {
 }
 SPLIT["v_block"] = (SPLIT["v_block"][0], SPLIT["v_block"][0])
 
-EVENT_MS = ("unix_millis(cast(ts as timestamp))", "epoch_ms(ts)")
+EVENT_MS = ("unix_millis(cast(ts as timestamp))", "epoch_us(ts) // 1000")
 
 
 def _texts(name: str) -> tuple[str, str]:

@@ -42,7 +42,7 @@ def fast_stream(fx) -> DataFrame:
 _COLUMNS = ["id", "user_id", "ts_ms"]
 
 
-@query("str1_rate_limit", """
+_STR1_RATE_LIMIT = """
     with recursive e as (select id, user_id % 10 as key, ts_ms, row_number() over (partition by user_id % 10 order by ts_ms, id) as n from {v_fast}),
     r as (select key, cast(0 as bigint) as n, cast(null as bigint) as id, cast([] as bigint[]) as stamps, true as allowed, cast(null as bigint) as ts_ms
           from (select distinct key from e)
@@ -52,17 +52,20 @@ _COLUMNS = ["id", "user_id", "ts_ms"]
                       else list_append(list_filter(r.stamps, lambda t: e.ts_ms - t <= 60000), e.ts_ms) end,
                  len(list_filter(r.stamps, lambda t: e.ts_ms - t <= 60000)) < 6, e.ts_ms
           from r join e on e.key = r.key and e.n = r.n + 1)
-    select id, key, ts_ms, allowed from r where id is not null""")
+    select id, key, ts_ms, allowed from r where id is not null"""
+
+
+@query("str1_rate_limit", _STR1_RATE_LIMIT)
 def _(fx):
     rows = fx.v_fast.selectExpr("id", "user_id % 10 as key", "ts_ms")
     return fo.replay(fo.quiet_segments(rows, ["key"], fo.WINDOW_MS), fo.rate_limit(6), ["key", "segment"]).drop("segment")
 
 
-@query("str1_rate_limit_stream")
+@query("str1_rate_limit_stream", _STR1_RATE_LIMIT)
 def _(fx):
-    """Stream form of the limiter, state kept five idle minutes (STR-2)."""
+    """Stream form of the limiter; a long-running one adds ``ttl_ms`` (STR-2)."""
     rows = fast_stream(fx).selectExpr("id", "user_id % 10 as key", "ts_ms")
-    return run_to_end(fx, fold_stream(rows, fo.rate_limit(6), ["key"], ttl_ms=fo.IDLE_MS))
+    return run_to_end(fx, fold_stream(rows, fo.rate_limit(6), ["key"]))
 
 
 def _logins(df: DataFrame) -> DataFrame:
@@ -81,10 +84,13 @@ def _(fx):
     return run_to_end(fx, fold_stream(_logins(fast_stream(fx)), fo.login_guard(), ["gate"]))
 
 
-@query("str4_token_budget", """
+_STR4_TOKEN_BUDGET = """
     select id, user_id, day, coalesce(sum(tokens) over (partition by user_id, day order by ts_ms, id rows between unbounded preceding and 1 preceding), 0)::bigint as used_before,
       coalesce(sum(tokens) over (partition by user_id, day order by ts_ms, id rows between unbounded preceding and 1 preceding), 0) < 1500 as allowed
-    from (select *, cast(floor(ts_ms / 216000) as bigint) as day from {v_fast})""")
+    from (select *, cast(floor(ts_ms / 216000) as bigint) as day from {v_fast})"""
+
+
+@query("str4_token_budget", _STR4_TOKEN_BUDGET)
 def _(fx):
     """A day is one 400th of a day here, as event time is."""
     rows = fx.v_fast.withColumn("day", F.floor(F.col("ts_ms") / 216000))
@@ -92,51 +98,57 @@ def _(fx):
     return run.select("id", "user_id", "day", "used_before", (F.col("used_before") < 1500).alias("allowed"))
 
 
-@query("str4_token_budget_stream")
+@query("str4_token_budget_stream", _STR4_TOKEN_BUDGET)
 def _(fx):
     rows = fast_stream(fx).withColumn("day", F.floor(F.col("ts_ms") / 216000))
-    return run_to_end(fx, fold_stream(rows, fo.token_budget(1500), ["user_id", "day"], ttl_ms=25 * 3600 * 1000))
+    return run_to_end(fx, fold_stream(rows, fo.token_budget(1500), ["user_id", "day"])).select("id", "user_id", "day", "used_before", "allowed")
 
 
-@query("str5_breaker", """
+_STR5_BREAKER = """
     with recursive e as (select id, user_id % 30 as name, ts_ms, event_type <> 'error' and event_type <> 'view' as ok,
                                 row_number() over (partition by user_id % 30 order by ts_ms, id) as n from {v_fast}),
-    r as (select name, cast(0 as bigint) as n, cast(null as bigint) as id, cast(null as bigint) as ts_ms, false as ok, true as allowed, 'closed' as before, 'closed' as after,
-                 cast(0 as bigint) as fails, cast(0 as bigint) as at from (select distinct name from e)
+    r as (select name, cast(0 as bigint) as n, cast(null as bigint) as id, cast(null as bigint) as ts_ms, false as ok, true as allowed, 'closed' as state_before, 'closed' as state_after,
+                 cast(0 as bigint) as fails, cast(0 as bigint) as at_ms from (select distinct name from e)
           union all
-          select name, n, id, ts_ms, ok, before <> 'open' as allowed, before,
-            case when before = 'open' then 'open' when ok then 'closed' when before = 'half_open' or fails + 1 >= 3 then 'open' else before end as after,
-            case when before = 'open' then fails when ok then 0 else fails + 1 end as fails, case when before = 'open' or ok then at else ts_ms end as at
-          from (select e.name, e.n, e.id, e.ts_ms, e.ok, r.fails, r.at, case when r.after = 'open' and e.ts_ms - r.at >= 60000 then 'half_open' else r.after end as before
+          select name, n, id, ts_ms, ok, state_before <> 'open' as allowed, state_before,
+            case when state_before = 'open' then 'open' when ok then 'closed' when state_before = 'half_open' or fails + 1 >= 3 then 'open' else state_before end as state_after,
+            case when state_before = 'open' then fails when ok then 0 else fails + 1 end as fails, case when state_before = 'open' or ok then at_ms else ts_ms end as at_ms
+          from (select e.name, e.n, e.id, e.ts_ms, e.ok, r.fails, r.at_ms, case when r.state_after = 'open' and e.ts_ms - r.at_ms >= 60000 then 'half_open' else r.state_after end as state_before
                 from r join e on e.name = r.name and e.n = r.n + 1))
-    select id, name, ts_ms, ok, allowed, before, after from r where id is not null""")
+    select id, name, ts_ms, ok, allowed, state_before, state_after from r where id is not null"""
+
+
+@query("str5_breaker", _STR5_BREAKER)
 def _(fx):
     rows = fx.v_fast.selectExpr("id", "user_id % 30 as name", "ts_ms", "event_type <> 'error' and event_type <> 'view' as ok")
     return fo.replay(fo.reset_segments(rows, ["name"], fo.BREAKERS["qa"][1], 216000), fo.breaker(), ["name", "segment"]).drop("segment")
 
 
-@query("str5_breaker_stream")
+@query("str5_breaker_stream", _STR5_BREAKER)
 def _(fx):
     rows = fast_stream(fx).selectExpr("id", "user_id % 30 as name", "ts_ms", "event_type <> 'error' and event_type <> 'view' as ok")
     return run_to_end(fx, fold_stream(rows, fo.breaker(), ["name"]))
 
 
-@query("str6_turn_trigger", """
-    select id, user_id, turn, turn % 5 = 0 as due from (select id, user_id, row_number() over (partition by user_id order by ts_ms, id) as turn from {v_fast})""")
+_STR6_TURN_TRIGGER = """
+    select id, user_id, turn, turn % 5 = 0 as due from (select id, user_id, row_number() over (partition by user_id order by ts_ms, id) as turn from {v_fast})"""
+
+
+@query("str6_turn_trigger", _STR6_TURN_TRIGGER)
 def _(fx):
     run = running(fx.v_fast, ["user_id"], ["ts_ms", "id"], F.floor(F.col("ts_ms") / 216000), {"turn": ("count", F.lit(1))})
     return run.select("id", "user_id", "turn", (F.col("turn") % fo.TURNS == 0).alias("due"))
 
 
-@query("str6_turn_trigger_stream")
+@query("str6_turn_trigger_stream", _STR6_TURN_TRIGGER)
 def _(fx):
-    return run_to_end(fx, fold_stream(fast_stream(fx).select(*_COLUMNS), fo.turn_trigger(), ["user_id"]))
+    return run_to_end(fx, fold_stream(fast_stream(fx).select(*_COLUMNS), fo.turn_trigger(), ["user_id"])).select("id", "user_id", "turn", "due")
 
 
 _STEPS = "select event_id as id, user_id % 20 as file_id, event_type = 'purchase' as forced, cast(floor(ts_ms / 40000) as bigint) as ts_ms from {v_event}"
 
 
-@query("str7_throttle", f"""
+_STR7 = f"""
     with recursive e as (select *, row_number() over (partition by file_id order by ts_ms, id) as n from ({_STEPS})),
     r as (select file_id, cast(0 as bigint) as n, cast(null as bigint) as id, false as forced, cast(null as bigint) as ts_ms, true as kept, cast(null as bigint) as at
           from (select distinct file_id from e)
@@ -144,20 +156,23 @@ _STEPS = "select event_id as id, user_id % 20 as file_id, event_type = 'purchase
           select e.file_id, e.n, e.id, e.forced, e.ts_ms, e.forced or r.at is null or e.ts_ms - r.at >= 1000,
                  case when e.forced or r.at is null or e.ts_ms - r.at >= 1000 then e.ts_ms else r.at end
           from r join e on e.file_id = r.file_id and e.n = r.n + 1)
-    select id, file_id, forced, ts_ms, kept from r where id is not null""")
+    select id, file_id, forced, ts_ms, kept from r where id is not null"""
+
+
+@query("str7_throttle", _STR7)
 def _(fx):
     rows = fo.quiet_segments(fx.sql(_STEPS), ["file_id"], fo.THROTTLE_MS)
     return fo.replay(rows, fo.throttle(), ["file_id", "segment"]).drop("segment")
 
 
-@query("str7_throttle_stream")
+@query("str7_throttle_stream", _STR7)
 def _(fx):
     rows = event_stream(fx).selectExpr("event_id as id", "user_id % 20 as file_id", "event_type = 'purchase' as forced",
                                        "cast(floor(unix_millis(cast(ts as timestamp)) / 40000) as bigint) as ts_ms")
     return run_to_end(fx, fold_stream(rows, fo.throttle(), ["file_id"]))
 
 
-@query("str8_ingest", "select doc_id as file_id from {documents} where length(trim(text)) > 0")
+@query("str8_ingest")
 def _(fx):
     """Documents arrive as files, become chunks, and a second arrival replaces the first; files with chunks are listed."""
     root = f"{ensure_checkpoint_dir(fx.spark)}/ingest-{uuid.uuid4().hex}"
@@ -167,7 +182,7 @@ def _(fx):
     jobs.start_ingest(fx.spark, f"{root}/in", f"{root}/out", f"{root}/state").awaitTermination()
     second.write.mode("append").parquet(f"{root}/in")
     jobs.start_ingest(fx.spark, f"{root}/in", f"{root}/out", f"{root}/state").awaitTermination()
-    return jobs.current_chunks(fx.spark, f"{root}/out").select("file_id").distinct()
+    return jobs.current_chunks(fx.spark, f"{root}/out")
 
 
 _QUEUE = "select l_orderkey as file_id, l_linenumber as seq, l_partkey as job from {lineitem}"
@@ -215,9 +230,9 @@ def _(fx):
 
 
 @query("str10_session_metrics", """
-    with e as (select user_id, epoch_ms(ts) as t, lag(epoch_ms(ts)) over (partition by user_id order by ts) as p from {events}),
-    s as (select *, sum(case when p is null or t - p >= 1800000 then 1 else 0 end) over (partition by user_id order by t rows unbounded preceding) as g from e)
-    select user_id, min(t) as start_ms, max(t) + 1800000 as end_ms, count(*) as answers from s group by user_id, g""")
+    with e as (select user_id, epoch_us(ts) as t, lag(epoch_us(ts)) over (partition by user_id order by ts) as p from {events}),
+    s as (select *, sum(case when p is null or t - p >= 1800000000 then 1 else 0 end) over (partition by user_id order by t rows unbounded preceding) as g from e)
+    select user_id, min(t) // 1000 as start_ms, (max(t) + 1800000000) // 1000 as end_ms, count(*) as answers from s group by user_id, g""")
 def _(fx):
     return jobs.session_metrics(fx.events.selectExpr(*_LIVE))
 

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from ..operators.scan import running, same_keys
+from ..operators.scan import running
 
 # ---- Fixed values ------------------------------------------------------------
 WINDOW_MS = 60_000
@@ -112,7 +112,7 @@ def breaker(threshold: int = BREAKERS["qa"][0], recovery_ms: int = BREAKERS["qa"
             if before == "half_open" or s["fails"] >= threshold:
                 s["mode"] = "open"
         return (True, before, s["mode"])
-    out = [StructField("allowed", BooleanType()), StructField("before", StringType()), StructField("after", StringType())]
+    out = [StructField("allowed", BooleanType()), StructField("state_before", StringType()), StructField("state_after", StringType())]
     return Fold(out, step, {"mode": "closed", "fails": 0, "at": 0})
 
 
@@ -180,7 +180,9 @@ def quiet_segments(df: DataFrame, keys: list[str], quiet_ms: int) -> DataFrame:
     binned = df.withColumn("_bin", F.floor(F.col("ts_ms") / quiet_ms))
     bins = binned.select(*keys, "_bin").distinct()
     island = bins.withColumn("segment", F.col("_bin") - F.row_number().over(W.partitionBy(*keys).orderBy("_bin")))
-    return binned.join(island, same_keys(binned, island, [*keys, "_bin"])).select(*[binned[c] for c in df.columns], island["segment"])
+    right = island.select("segment", *[F.col(c).alias(f"_k_{c}") for c in (*keys, "_bin")])
+    same = F.expr(" AND ".join(f"{c} <=> _k_{c}" for c in (*keys, "_bin")))
+    return binned.join(right, same).select(*df.columns, "segment")
 
 
 def reset_segments(df: DataFrame, keys: list[str], quiet_ms: int, block_ms: int = 86_400_000) -> DataFrame:

@@ -38,7 +38,11 @@ class FoldProcessor(StatefulProcessor):
 
 
 def fold_stream(stream: DataFrame, fold: Fold, keys: list[str], order: list[str] | None = None, ttl_ms: int | None = None) -> DataFrame:
-    """Streaming counterpart of ``folds.replay``; needs the RocksDB state store."""
+    """Streaming counterpart of ``folds.replay``; needs the RocksDB state store.
+
+    ``ttl_ms`` works on processing time and so keeps a stream alive: use it in
+    long-running queries, not with the available-now trigger.
+    """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     processor = FoldProcessor(fold, stream.columns, order or ["ts_ms", "id"], ttl_ms)
     return stream.groupBy(*keys).transformWithStateInPandas(
