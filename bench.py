@@ -23,8 +23,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     load_all()
     spark = build_session("bench", f"local[{cpus}]", **{
-        "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.enabled": "false",
-        "spark.sql.files.maxPartitionBytes": "4m", "spark.sql.files.openCostInBytes": "65536"})
+        "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.enabled": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()
     times: dict[str, float] = {}

@@ -94,9 +94,9 @@ def split_column(df: DataFrame, key: str, pieces: Column) -> DataFrame:
 def with_heading_path(nodes: DataFrame, max_level: int = MAX_LEVEL) -> DataFrame:
     """CHK-1: titles above each node that is not a heading.
 
-    The heading of level L is still open when no heading of level <= L came
-    later, which two running maxima tell. A heading without level takes the level
-    of the heading before it.
+    The newest heading of level L is still open when no heading of a lower level
+    came later, which running maxima per level tell. A heading without level
+    takes the level of the heading before it.
     """
     text = F.expr(sql_call("strip_text", t="text"))
     used = nodes.withColumn("text", text).filter(F.col("text") != "").filter(~fn("is_junk", t="text"))
@@ -104,13 +104,14 @@ def with_heading_path(nodes: DataFrame, max_level: int = MAX_LEVEL) -> DataFrame
     head = F.col("type") == "heading"
     lev = running(used, ["file_id"], ["idx"], block, {"_l": ("last", F.when(head, F.col("level")))})
     lev = lev.withColumn("_lev", F.when(head, F.coalesce("_l", F.lit(1))))
-    measures = {}
-    for level in range(1, max_level + 1):
-        measures[f"_t{level}"] = ("max", F.when(F.col("_lev") == level, F.struct("idx", "text")))
-        measures[f"_u{level}"] = ("max", F.when(F.col("_lev") <= level, F.col("idx")))
+    measures = {f"_t{level}": ("max", F.when(F.col("_lev") == level, F.struct("idx", "text"))) for level in range(1, max_level + 1)}
     seen = running(lev, ["file_id"], ["idx"], block, measures)
-    titles = F.array_compact(F.array(*[
-        F.when(F.col(f"_t{level}.idx") == F.col(f"_u{level}"), F.col(f"_t{level}.text")) for level in range(1, max_level + 1)]))
+    titles = []
+    for level in range(1, max_level + 1):
+        above = [F.col(f"_t{i}.idx") for i in range(1, level)]
+        later = F.greatest(F.lit(-1), F.lit(-1), *above)
+        titles.append(F.when(F.col(f"_t{level}.idx") > later, F.col(f"_t{level}.text")))
+    titles = F.array_compact(F.array(*titles))
     return seen.filter(~head).select("file_id", "idx", "type", "text", "page", F.array_join(titles, PATH_JOINT).alias("heading_path"))
 
 

@@ -57,3 +57,13 @@ def register(spark: SparkSession, root: str) -> None:
     """Expose every relation as a temporary view."""
     for name in SCHEMAS:
         load(spark, root, name).createOrReplaceTempView(name)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash rows by ``key`` when the files give few splits for the cores.
+
+    Large inputs have splits enough and stay as they are; the rule only acts on a
+    few files, whose splits may be empty as a row group is read by one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < 4 * cores else df
