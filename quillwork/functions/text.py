@@ -93,8 +93,9 @@ FUNCTIONS: dict[str, tuple[list[tuple[str, str]], str, str]] = {
     "tokenize": (
         [("t", "STRING")], "ARRAY<STRING>",
         "concat(regexp_extract_all(lower({t}), r'" + WORD + "', 0), "
-        r"regexp_extract_all({t}, r'(?=([一-鿿]{2}))', 1), "
-        r"regexp_extract_all({t}, r'(?<![一-鿿])[一-鿿](?![一-鿿])', 0))"),
+        r"CASE WHEN {t} RLIKE r'[一-鿿]' THEN concat(regexp_extract_all({t}, r'(?=([一-鿿]{2}))', 1), "
+        r"regexp_extract_all({t}, r'(?<![一-鿿])[一-鿿](?![一-鿿])', 0)) "
+        "ELSE cast(array() as array<string>) END)"),
     "content_terms": (
         [("t", "STRING")], "ARRAY<STRING>",
         r"array_distinct(concat(regexp_extract_all({t}, r'[A-Za-z0-9_]{2,}', 0), "

@@ -85,7 +85,7 @@ def table_pieces(text: Column, rows: int = TABLE_ROWS) -> Column:
 
 
 def split_column(df: DataFrame, key: str, pieces: Column) -> DataFrame:
-    return df.select(key, F.posexplode(pieces).alias("piece_no", "piece")).withColumn(
+    return df.select(key, F.posexplode_outer(pieces).alias("piece_no", "piece")).filter("piece is not null").withColumn(
         "piece_no", F.col("piece_no").cast("bigint"))
 
 
@@ -188,7 +188,7 @@ def _pieces(units: Column) -> Column:
 def merge_short(docs: DataFrame, key: str = "file_id", nodes: str = "nodes") -> DataFrame:
     """CHK-2 as rows: merged units of each document before they are cut."""
     units = _merge_units(_with_paths(_usable(nodes)))
-    return docs.select(key, F.posexplode(units).alias("unit_no", "u")).select(
+    return docs.select(key, F.posexplode_outer(units).alias("unit_no", "u")).filter("u is not null").select(
         key, F.col("unit_no").cast("bigint").alias("unit_no"), "u.kind", "u.text", F.col("u.page").alias("page_no"), F.col("u.path").alias("heading_path"))
 
 
@@ -203,7 +203,7 @@ def chunk_documents(docs: DataFrame, key: str = "file_id", nodes: str = "nodes")
     first = F.filter(
         F.transform("_p", lambda p, i: F.struct((i + 1).cast("bigint").alias("seq"), p.alias("p"))),
         lambda x: F.array_position(F.col("_c"), x["p"]["content"]) == x["seq"])
-    return contents.select(key, F.explode(first).alias("x")).select(
+    return contents.select(key, F.explode_outer(first).alias("x")).filter("x is not null").select(
         key, "x.p.chunk_type", "x.seq", "x.p.content", F.length("x.p.content").cast("bigint").alias("chars"),
         "x.p.heading_path", "x.p.page_no")
 

@@ -79,16 +79,15 @@ def exclude_types(hits: DataFrame, types: list[str]) -> DataFrame:
     return top_per_group(kept, ["query_id"], [F.col("old_rank")], 100)
 
 
-def compare_systems(rankings: DataFrame, golden: DataFrame, k: int = 5) -> DataFrame:
-    """EVL-7: recall at ``k`` of each system, overall and per category.
+def compare_systems(rankings: DataFrame, golden: DataFrame, systems: list[str], k: int = 5) -> DataFrame:
+    """EVL-7: recall at ``k`` of each of the ``systems``, overall and per category.
 
     ``rankings(system, query_id, rank, file)``, ``golden(query_id, file, category)``.
     """
     asked = golden.select("query_id", "category").distinct()
     found = (rankings.filter(F.col("rank") <= k).join(golden.select("query_id", "file").distinct(), ["query_id", "file"], "left_semi")
              .select("system", "query_id").distinct().withColumn("hit", F.lit(1)))
-    names = rankings.select("system").distinct().withColumn("_one", F.lit(0))
-    grid = asked.withColumn("_one", F.lit(0)).join(names, "_one")
+    grid = asked.withColumn("system", F.explode(F.array(*[F.lit(s) for s in systems])))
     per = grid.join(found, ["system", "query_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
     out = per.groupingSets([["system", "category"], ["system"]], "system", "category").agg(
         F.grouping("category").alias("g"), F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"), F.avg("hit").alias("recall"))
@@ -131,9 +130,9 @@ def run_results(results: DataFrame, questions: DataFrame) -> DataFrame:
 
 def ablation(metrics: DataFrame, base: str) -> DataFrame:
     """EVL-11: overall metrics of each variant and their distance to the base variant."""
-    reference = metrics.filter(F.col("variant") == base).select(*[F.col(m).alias(f"base_{m}") for m in COMPARED]).withColumn("_one", F.lit(0))
-    return metrics.withColumn("_one", F.lit(0)).join(reference, "_one").select(
-        "variant", *COMPARED, *[F.bround(F.col(m) - F.col(f"base_{m}"), 4).alias(f"d_{m}") for m in COMPARED])
+    reference = metrics.filter(F.col("variant") == base).select(*COMPARED).first()   # one row of numbers
+    return metrics.select("variant", *COMPARED, *[
+        F.bround(F.col(m) - F.lit(reference[m]), 4).alias(f"d_{m}") for m in COMPARED])
 
 
 # ---------------------------------------------------------------- feedback

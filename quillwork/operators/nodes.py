@@ -37,7 +37,9 @@ def strip(column: str) -> Column:
 def text_to_nodes(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """DOC-1: paragraphs of plain text, split at blank lines."""
     parts = F.expr(f"filter(transform(split(text, '\\n\\n'), p -> {sql_call('strip_text', t='p')}), p -> p <> '')")
-    return df.select(key, F.posexplode(parts).alias("idx", "text")).withColumn("idx", F.col("idx").cast("bigint"))
+    # the outer form keeps the optimizer from adding a second evaluation of the split as a filter
+    nodes = df.select(key, F.posexplode_outer(parts).alias("idx", "text")).filter("text is not null")
+    return nodes.withColumn("idx", F.col("idx").cast("bigint"))
 
 
 _BLANK = r"[\s&&[^\n]]*"
@@ -71,7 +73,7 @@ def markdown_array(text: str) -> Column:
 
 def markdown_to_nodes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """DOC-2: code, headings, tables, list items and paragraphs of a Markdown text in order."""
-    nodes = df.select(key, F.posexplode(markdown_array(text)).alias("idx", "n"))
+    nodes = df.select(key, F.posexplode_outer(markdown_array(text)).alias("idx", "n")).filter("n is not null")
     return nodes.select(key, F.col("idx").cast("bigint").alias("idx"), "n.type", "n.text", "n.level")
 
 
@@ -83,7 +85,7 @@ def markdown_sections(df: DataFrame, key: str = "doc_id") -> DataFrame:
     plain = F.regexp_replace(F.regexp_replace("text", r"!\[([^\]]*)\]\([^)]*\)", "$1"), r"\[([^\]]+)\]\([^)]*\)", "$1")
     parts = df.select(key, plain.alias("text")).select(
         key, F.col("text").rlike(r"^#{1,2}\s").cast("bigint").alias("shift"),
-        F.posexplode(F.split("text", r"(?m)(?=^#{1,2}\s)")).alias("pos", "part"))
+        F.posexplode_outer(F.split("text", r"(?m)(?=^#{1,2}\s)")).alias("pos", "part"))
     return (parts.select(key, (F.col("pos") + F.col("shift")).alias("page_no"), strip("part").alias("text"))
             .filter("text <> ''"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from ..functions.text import fn, sql_call
+from ..session import cut_lineage
 from .scan import top_per_group
 from .vectors import vector_topk
 
@@ -25,6 +26,8 @@ SUBQUERY_TOP, FINAL_TOP = 24, 8
 ORG_TOP_MAX = 20
 HIT_CHARS, PREVIEW_CHARS, PREVIEW_CHUNKS, PRIOR_CHARS = 600, 500, 20, 200
 # ------------------------------------------------------------------------------
+MARK = ""                 # the term that stands for a chunk itself
+BROADCAST_ROWS = 500_000  # question words that may be sent to every task
 SCORE_DIGITS = 9   # ranks use scores rounded to this, so equal texts tie in every engine
 
 Scorer = Callable[[Column, Column], Column]
@@ -79,36 +82,55 @@ def passage(table: str = "") -> Column:
 
 
 def query_terms(queries: DataFrame, keys: list[str], tokenizer: Tokenizer = default_tokenizer) -> DataFrame:
-    tokens = queries.select(*keys, "query_id", F.explode(tokenizer("question")).alias("term"))
+    tokens = queries.select(*keys, "query_id", F.explode_outer(tokenizer("question")).alias("term")).filter("term is not null")
     return tokens.groupBy(*keys, "query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
+def term_index(chunks: DataFrame, wanted: DataFrame, keys: list[str], tokenizer: Tokenizer = default_tokenizer) -> DataFrame:
+    """Frequencies of the wanted terms per chunk, written once to the checkpoint folder.
+
+    Texts are read and cut into words a single time. The empty term marks every
+    chunk with its length, so corpus size and mean length come from the same table.
+    """
+    tokens = chunks.select(*keys, "chunk_id", passage().alias("_p")).select(*keys, "chunk_id", tokenizer("_p").alias("_t"))
+    marked = tokens.select(*keys, "chunk_id", F.size("_t").alias("dl"), F.explode_outer(
+        F.concat(F.array(F.lit(MARK)), "_t")).alias("term"))
+    marks = wanted.select(*keys).distinct().withColumn("term", F.lit(MARK)) if keys else wanted.sparkSession.range(1).select(F.lit(MARK).alias("term"))
+    wanted = wanted.unionByName(marks)
+    found = marked.join(fitting(wanted), [*keys, "term"], "left_semi").repartition("chunk_id")
+    return cut_lineage(found.groupBy(*keys, "chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+
+
+def fitting(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a side made of question words only when a count shows that it is small; else leave the join to Spark."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = CHANNEL_TOP, keys: list[str] | None = None,
               tokenizer: Tokenizer = default_tokenizer) -> DataFrame:
     """RET-6: best ``k`` chunks per question by BM25 over heading path and content.
 
     ``keys`` are scope columns on both sides; the corpus of a question is its scope.
-    Tokens no question asks for are dropped before the one shuffle, which is by
-    chunk. Counting, scoring and a first cut to ``k`` rows per question then
-    happen where the chunk is, so a frequent term never gathers on one task.
+    Words no question asks for are dropped before the one shuffle, which is by
+    chunk. Scoring and a first cut to ``k`` rows per question then happen where
+    the chunk is, so a frequent word never gathers on one task.
     """
     keys = keys or []
-    tokens = chunks.select(*keys, "chunk_id", passage().alias("_p")).select(*keys, "chunk_id", tokenizer("_p").alias("_t"))
-    sized = tokens.withColumn("dl", F.size("_t"))
-    corpus = sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
     asked = query_terms(queries, keys, tokenizer)
-    wanted = asked.select(*keys, "term").distinct()
-    found = (sized.select(*keys, "chunk_id", "dl", F.explode("_t").alias("term")).join(wanted, [*keys, "term"], "left_semi")
-             .repartition("chunk_id"))
-    tf = found.groupBy(*keys, "chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    index = term_index(chunks, asked.select(*keys, "term").distinct(), keys, tokenizer)
+    tf = index.filter(F.col("term") != MARK)
     df = tf.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("df"))
-    one = F.lit(0).alias("_one")
-    stats = corpus.select(*keys, one, "n_docs", "avg_dl")
+    corpus = index.filter(F.col("term") == MARK).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    weighed = asked.join(df, [*keys, "term"])
+    if keys:
+        weighed = weighed.join(corpus, keys)
+    else:
+        size = corpus.first()
+        weighed = weighed.withColumns({"n_docs": F.lit(size["n_docs"]), "avg_dl": F.lit(size["avg_dl"] or 1.0)})
     idf = F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = (asked.join(df, [*keys, "term"]).withColumn("_one", F.lit(0)).join(stats, [*keys, "_one"])
-               .select(*keys, "query_id", "term", "avg_dl", (F.col("qtf") * idf).alias("w")))
+    weights = weighed.select(*keys, "query_id", "term", "avg_dl", (F.col("qtf") * idf).alias("w"))
     gain = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    scored = (tf.join(weights, [*keys, "term"]).groupBy("query_id", "chunk_id")
+    scored = (tf.join(fitting(weights), [*keys, "term"]).groupBy("query_id", "chunk_id")
               .agg(F.round(F.sum(gain), SCORE_DIGITS).alias("bm25")).filter("bm25 > 0"))
     return top_per_group(scored, ["query_id"], [F.desc("bm25"), F.col("chunk_id")], k)
 

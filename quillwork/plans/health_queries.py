@@ -119,7 +119,7 @@ def _(fx):
         part = df.select(F.lit(name).alias("system"), "query_id", "rank", F.col("chunk_id").alias("file"))
         rankings = part if rankings is None else rankings.unionByName(part)
     golden = fx.v_golden.selectExpr("question_id as query_id", "expect_doc as file", "dimension as category")
-    return ev.compare_systems(rankings, golden)
+    return ev.compare_systems(rankings, golden, ["vector", "bm25", "rrf", "rrf_rerank"])
 
 
 def _overall(fx):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import search as se
 from ..operators import vectors as ve
-from .inputs import BOTH
+from .inputs import BOTH, SPLIT
 from .registry import query
 
 BOTH["v_chunk_row"] = """
@@ -18,11 +18,10 @@ BOTH["v_search_chunk"] = """
 BOTH["v_question"] = """
     select b.item_id as query_id, b.text as question, b.item_id % 5 as org_id, b.item_id % 26 as top_k, e.embedding
     from {benchmark} b left join {embeddings} e on e.vec_id = b.item_id"""
-BOTH["v_subquestion"] = """
-    select b.item_id as query_id, s.sub_no, case s.sub_no when 0 then b.text when 1 then substring(b.text, 1, 60) else substring(b.text, 61, 200) end as question,
-           e.embedding
-    from {benchmark} b join (select r_regionkey as sub_no from {region} where r_regionkey <= 2) s on true
-    left join {embeddings} e on e.vec_id = b.item_id + 3 * s.sub_no"""
+_SUB = """select b.item_id as query_id, b.sub_no, case b.sub_no when 0 then b.text when 1 then substring(b.text, 1, 60) else substring(b.text, 61, 200) end as question,
+           e.embedding from (%s) b left join {embeddings} e on e.vec_id = b.item_id + 3 * b.sub_no"""
+SPLIT["v_subquestion"] = (_SUB % "select item_id, text, sub_no from {benchmark} lateral view explode(array(0, 1, 2)) t as sub_no",
+                          _SUB % "select item_id, text, unnest([0, 1, 2]) as sub_no from {benchmark}")
 
 
 def visible(fx):
