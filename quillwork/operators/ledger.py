@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scan import latest_per_key, same_keys
+from .scan import join_same, latest_per_key
 
 AUDIT_TARGET_CHARS = 500
 
@@ -16,7 +16,7 @@ def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     guard = counts.select(*keys, F.when(F.col("_n") > 1, F.raise_error(F.concat_ws(
         " ", F.lit("duplicate key"), *[F.col(k).cast("string") for k in keys])).cast("boolean"))
         .otherwise(F.lit(True)).alias("_ok"))
-    return df.join(guard, same_keys(df, guard, keys)).filter("_ok").select(*[df[c] for c in df.columns])
+    return join_same(df, guard, keys).filter("_ok").select(*df.columns)
 
 
 def replace_by_key(base: DataFrame, new: DataFrame, key: str) -> DataFrame:

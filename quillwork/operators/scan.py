@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 65536
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    cond = F.lit(True)
-    for key in keys:
-        cond = cond & left[key].eqNullSafe(right[key])
-    return cond
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join where null keys agree; the columns of ``left`` and those of ``right`` that are not keys."""
+    rest = [c for c in right.columns if c not in keys]
+    renamed = right.select(*rest, *[F.col(k).alias(f"_k_{k}") for k in keys])
+    return left.join(renamed, F.expr(" AND ".join(f"{k} <=> _k_{k}" for k in keys)), how).select(*left.columns, *rest)
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], block: Column,
@@ -60,8 +60,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], block: Column,
     carry = summary.select(*keys, "_blk", *[
         rolled(n, k, f"_s_{n}", before).alias(f"_c_{n}") for n, (k, _) in measures.items()])
 
-    joined = staged.join(carry, same_keys(staged, carry, [*keys, "_blk"]), "inner").select(
-        staged["*"], *[carry[f"_c_{n}"] for n in measures])
+    joined = join_same(staged, carry, [*keys, "_blk"])
     inside = W.partitionBy(*keys, "_blk").orderBy(*order).rowsBetween(
         W.unboundedPreceding, 0 if inclusive else -1)
     out = joined

@@ -100,10 +100,10 @@ BOTH: dict[str, str] = {
         select user_id % 7 + 1 as run_id, event_id as question_id,
                case event_id % 4 when 0 then 'factual' when 1 then 'table' when 2 then 'cross_page' else 'refuse' end as dimension,
                case when event_id % 4 = 3 then null when value > 60 then null else cast(floor(value / 12) as bigint) + 1 end as hit_rank,
-               case when event_id % 4 = 3 then null else round(value / 400.0, 4) end as context_precision,
+               case when event_id % 4 = 3 then null else value / 397.0 end as context_precision,
                case when event_id % 4 = 3 then event_type <> 'error' end as refused,
-               case when event_id % 4 <> 3 and event_id % 2 = 0 then round(value / 500.0, 4) end as faithfulness,
-               case when event_id % 4 <> 3 and event_id % 2 = 0 then round(value / 450.0, 4) end as relevancy
+               case when event_id % 4 <> 3 and event_id % 2 = 0 then value / 503.0 end as faithfulness,
+               case when event_id % 4 <> 3 and event_id % 2 = 0 then value / 449.0 end as relevancy
         from {events}""",
 }
 

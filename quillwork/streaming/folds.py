@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from ..operators.scan import running
+from ..operators.scan import join_same, running
 
 # ---- Fixed values ------------------------------------------------------------
 WINDOW_MS = 60_000
@@ -180,9 +180,7 @@ def quiet_segments(df: DataFrame, keys: list[str], quiet_ms: int) -> DataFrame:
     binned = df.withColumn("_bin", F.floor(F.col("ts_ms") / quiet_ms))
     bins = binned.select(*keys, "_bin").distinct()
     island = bins.withColumn("segment", F.col("_bin") - F.row_number().over(W.partitionBy(*keys).orderBy("_bin")))
-    right = island.select("segment", *[F.col(c).alias(f"_k_{c}") for c in (*keys, "_bin")])
-    same = F.expr(" AND ".join(f"{c} <=> _k_{c}" for c in (*keys, "_bin")))
-    return binned.join(right, same).select(*df.columns, "segment")
+    return join_same(binned, island, [*keys, "_bin"]).select(*df.columns, "segment")
 
 
 def reset_segments(df: DataFrame, keys: list[str], quiet_ms: int, block_ms: int = 86_400_000) -> DataFrame:
