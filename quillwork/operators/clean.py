@@ -46,6 +46,19 @@ def clean_nodes(nodes: DataFrame, text: str = "text", kind: str = "type") -> Dat
             .drop(*[f"_{i}" for i in range(len(CLEAN_RULES) + 1)]))
 
 
+def clean_text(text: Column, kind: Column) -> Column:
+    """CLN-1 on one value, for texts held in arrays."""
+    out = text
+    for name, pattern, replacement in CLEAN_RULES:
+        changed = F.regexp_replace(out, pattern, replacement)
+        if name in _SPACE_RULES:
+            changed = F.when(kind.isin(KEEP_SPACES), out).otherwise(changed)
+        if name == "strip":
+            changed = F.when(kind == "code", out).otherwise(changed)
+        out = changed
+    return out
+
+
 def drop_junk(nodes: DataFrame, text: str = "text") -> DataFrame:
     """CLN-2: nodes with something left after blanks and punctuation are removed."""
     return nodes.filter(~fn("is_junk", t=text))

@@ -21,6 +21,7 @@ from .scan import top_per_group
 CHUNK_BLOCK = 16384
 QUERY_BLOCK = 4096
 TILE = 1024
+MAX_CELLS, CELL_PER_HIT = 1024, 64
 SIM_DIGITS = 9     # ranks use similarities rounded to this, so equal vectors tie in every engine
 MARGIN = 1e-6      # slack of the cell bounds against rounding
 
@@ -56,6 +57,15 @@ def best_of_block(queries: pd.DataFrame, chunks: pd.DataFrame, k: int, min_sim:
 
 def _block_join(queries: DataFrame, chunks: DataFrame, keys: list[str], k: int, min_sim: float | None) -> DataFrame:
     """Best ``k`` per query and block over equal ``keys``."""
+    if not keys:   # one group: the number of blocks is a plain number
+        cb, qb = (max(1, -(-df.count() // size)) for df, size in ((chunks, CHUNK_BLOCK), (queries, QUERY_BLOCK)))
+        left = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int").alias("_j"),
+                              F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("_i"))
+        right = chunks.select(*[F.col(c).alias(c) for c in ("chunk_id", "embedding")],
+                              F.pmod(F.xxhash64("chunk_id"), F.lit(cb)).cast("int").alias("_i"),
+                              F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("_j"))
+        return left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(
+            lambda q, c: best_of_block(q, c, k, min_sim), HIT)
     q_count = queries.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(QUERY_BLOCK))).cast("int").alias("_qb"))
     c_count = chunks.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(CHUNK_BLOCK))).cast("int").alias("_cb"))
     grid = q_count.join(c_count, keys)
@@ -115,17 +125,20 @@ def _final(hits: DataFrame, k: int) -> DataFrame:
 
 
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, keys: list[str] | None = None,
-                min_sim: float | None = None, cells: int = 32) -> DataFrame:
+                min_sim: float | None = None, cells: int | None = None) -> DataFrame:
     """RET-3: exact best ``k`` by cosine; ``keys`` are scope columns that must agree.
 
-    Without scope columns, chunks are put into cells around pivots. With the
+    Without scope columns, many chunks are put into cells around pivots. With the
     distance of the query to a pivot and the radius of its cell, the triangle
     inequality bounds the k-th distance from above and each cell from below, and
-    cells that cannot hold a hit are left out. The result stays exact.
+    cells that cannot hold a hit are left out. The result stays exact. A cell is
+    much larger than ``k``, so a block passes on a small share of its pairs.
     """
     keys = keys or []
     q, c = _solid(queries, chunks, keys)
-    if keys:
+    if not keys and cells is None:
+        cells = min(MAX_CELLS, c.count() // (CELL_PER_HIT * k))
+    if keys or cells < 2:
         return _final(_block_join(q, c, keys, k, min_sim), k)
     pivots = _pivots(c, cells)
     placed = with_cell(c, pivots)

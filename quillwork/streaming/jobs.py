@@ -17,10 +17,11 @@ def document_chunks(docs: DataFrame) -> DataFrame:
     plain = F.expr("transform(filter(split(regexp_replace(text, '\\r\\n?', '\\n'), '\\n\\n'), p -> trim(p) <> ''), "
                    "p -> named_struct('type', 'paragraph', 'text', p, 'level', cast(null as bigint)))")
     both = docs.withColumn("_t", F.regexp_replace("text", "\r\n?", "\n"))
-    exploded = both.select("file_id", F.posexplode(F.when(markdown, nodes.markdown_array("_t")).otherwise(plain)).alias("idx", "n"))
-    typed = exploded.select("file_id", F.col("idx").cast("bigint").alias("idx"), "n.type", "n.text", "n.level",
-                            F.lit(None).cast("bigint").alias("page"))
-    return chunking.chunk_documents(chunking.nest_nodes(clean.clean_nodes(typed)))
+    parsed = both.select("file_id", F.when(markdown, nodes.markdown_array("_t")).otherwise(plain).alias("_n"))
+    cleaned = F.transform("_n", lambda n: F.struct(
+        n["type"].alias("type"), clean.clean_text(n["text"], n["type"]).alias("text"), n["level"].alias("level"),
+        F.lit(None).cast("bigint").alias("page")))
+    return chunking.chunk_documents(parsed.select("file_id", cleaned.alias("nodes")))
 
 
 def write_batch(batch: DataFrame, batch_id: int, out: str) -> None:
