@@ -26,7 +26,8 @@ def _(fx):
     return nd.text_to_nodes(fx.v_markdown)
 
 
-@query("doc2_markdown_nodes", f"""
+# nodes of any table ``doc_id, text`` put in place of {v_markdown}
+MARKDOWN_SQL = f"""
     with l as (select doc_id, i, line, {duck_strip('line')} as s from (
                  select doc_id, unnest(range(len(p))) as i, unnest(p) as line from (
                    select doc_id, string_split(text, chr(10)) as p from {{v_markdown}}))),
@@ -48,7 +49,10 @@ def _(fx):
            when regexp_matches(raw, '^\\s*([-*+]|\\d+\\.)\\s+') then 'list' else 'paragraph' end as type,
       case when code or tab then raw when regexp_matches(s, '^#{{1,6}}\\s+') then regexp_extract(s, '^#{{1,6}}\\s+(.*)$', 1) else s end as text,
       case when not code and not tab and regexp_matches(s, '^#{{1,6}}\\s+') then length(regexp_extract(s, '^(#{{1,6}})', 1)) end as level
-    from o""")
+    from o"""
+
+
+@query("doc2_markdown_nodes", MARKDOWN_SQL)
 def _(fx):
     return nd.markdown_to_nodes(fx.v_markdown)
 

@@ -35,7 +35,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        if current.isDefined():
+            folder = current.get()
+        elif spark.sparkContext.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return folder

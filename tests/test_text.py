@@ -1,8 +1,11 @@
-"""Unit cases for nodes, cleaning and chunks, and comparison with plain sequential loops."""
+"""Unit cases for nodes, cleaning and chunks, and comparison with small specifications in plain Python or SQL."""
 
 import random
 import re
+from functools import reduce
+from itertools import batched, groupby
 
+import duckdb
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from quillwork.functions.text import fn
 from quillwork.operators import chunking as ck
 from quillwork.operators import clean as cl
 from quillwork.operators import nodes as nd
+from quillwork.plans.doc_queries import MARKDOWN_SQL
 from quillwork.sources import files as src
 
 NODE = "file_id long, idx long, type string, text string, level long, page long"
@@ -49,36 +53,8 @@ def test_magic(spark):
 
 # ---------------------------------------------------------------- Markdown
 
-def sequential_markdown(text):
-    """Plain line loop with the same rules, for comparison."""
-    out, lines, i = [], text.split("\n"), 0
-    fence = lambda s: s.strip().startswith(("```", "~~~"))
-    row = lambda s: re.match(r"\|.*\|$", s.strip()) is not None
-    rule = lambda s: re.match(r"[\s:|-]+$", s.strip()) is not None
-    while i < len(lines):
-        s = lines[i].strip()
-        j = i + 1
-        if fence(lines[i]):
-            while j < len(lines) and not fence(lines[j]):
-                j += 1
-            j = min(j + 1, len(lines))
-            out.append(("code", "\n".join(lines[i:j]), None))
-        elif re.match(r"#{1,6}\s+", s):
-            marks, title = s.split(None, 1)
-            out.append(("heading", title.strip(), len(marks)))
-        elif row(s) and (rule(s) or (j < len(lines) and rule(lines[j]) and "|" in lines[j] and "-" in lines[j])):
-            while j < len(lines) and row(lines[j]):
-                j += 1
-            out.append(("table", "\n".join(lines[i:j]), None))
-        elif re.match(r"\s*([-*+]|\d+\.)\s+", lines[i]):
-            out.append(("list", s, None))
-        elif s:
-            out.append(("paragraph", s, None))
-        i = j
-    return out
-
-
-def test_markdown_against_loop(spark):
+def test_markdown_against_line_windows(spark):
+    """The one-pass pattern against a line-by-line formulation in SQL windows, on random line mixes."""
     rng = random.Random(7)
     parts = ["# A", "## B c", "####### no", "text one", "  indented", "", "- item", "1. first", "```", "~~~", "| a | b |", "|---|---|",
              "| x |", "a | b", "---|---", "#tag", "  ", "* star", "|", "||"]
@@ -87,8 +63,14 @@ def test_markdown_against_loop(spark):
     got = {}
     for r in nd.markdown_to_nodes(df).orderBy("doc_id", "idx").collect():
         got.setdefault(r["doc_id"], []).append((r["type"], r["text"], r["level"]))
+    con = duckdb.connect()
+    con.execute("create table t (doc_id bigint, text varchar)")
+    con.executemany("insert into t values (?, ?)", list(enumerate(texts)))
+    want = {}
+    for doc, _, kind, text, level in con.execute(f"select doc_id, idx, type, text, level from ({MARKDOWN_SQL.replace('{v_markdown}', 't')}) order by 1, 2").fetchall():
+        want.setdefault(doc, []).append((kind, text, level))
     for i, text in enumerate(texts):
-        assert got.get(i, []) == sequential_markdown(text), text
+        assert got.get(i, []) == want.get(i, []), text
 
 
 # ---------------------------------------------------------------- cleaning
@@ -107,35 +89,38 @@ def test_junk_keeps_cjk(spark):
 
 # ---------------------------------------------------------------- broken lines
 
-def sequential_merge(nodes):
-    ends = set("。！？；：”’）】》")
-    glue = lambda a, b: (" " if a[-1:].isascii() and a[-1:].isalpha() and b[:1].isascii() and b[:1].isalpha() else "") + b
-    out, i = [], 0
-    while i < len(nodes):
-        kind, text, page = nodes[i]
-        i += 1
-        if kind != "paragraph":
-            out.append((kind, text))
-            continue
-        if "\n" in text:
-            merged = []
-            for line in (x.strip() for x in text.split("\n")):
-                if merged and line and not (merged[-1] and merged[-1][-1] in ends):
-                    merged[-1] += glue(merged[-1], line)
-                else:
-                    merged.append(line)
-            text = "\n".join(merged)
-        while i < len(nodes) and nodes[i][0] == "paragraph" and nodes[i][2] == page:
-            cur, nxt = text.rstrip(), nodes[i][1]
-            if not cur or cur[-1] in ends or not nxt.strip() or nxt[0] in " \t　":
-                break
-            text = cur + glue(cur, nxt.strip())
-            i += 1
-        out.append(("paragraph", text))
-    return out
+ENDS = set("。！？；：”’）】》")
+
+
+def glue(left, right):
+    both = re.search("[A-Za-z]$", left) and re.match("[A-Za-z]", right)
+    return f"{left} {right}" if both else left + right
+
 
+def merged_lines(text):
+    """A line starts anew when it is empty, or follows a line that ended a sentence."""
+    def add(lines, line):
+        if lines and line and lines[-1][-1:] not in ENDS:
+            return lines[:-1] + [glue(lines[-1], line)]
+        return lines + [line]
+    return "\n".join(reduce(add, (x.strip() for x in text.split("\n")), [])) if "\n" in text else text
 
-def test_merge_against_loop(spark):
+
+def merged_nodes(nodes):
+    """Groups of nodes where each continues the one before, told from the pair alone."""
+    def continues(a, b):
+        tail, body = a[1].strip(), b[1].strip()
+        return (a[0] == b[0] == "paragraph" and a[2] == b[2] and tail and body
+                and tail[-1] not in ENDS and b[1][0] not in " \t　")
+    starts = [i for i in range(len(nodes)) if i == 0 or not continues(nodes[i - 1], nodes[i])] + [len(nodes)]
+    for at, end in zip(starts, starts[1:]):
+        kind, first, _ = nodes[at]
+        head = merged_lines(first) if kind == "paragraph" else first
+        rest = [n[1].strip() for n in nodes[at + 1:end]]
+        yield kind, reduce(glue, rest, head.rstrip()) if rest else head
+
+
+def test_merge_against_pairs(spark):
     rng = random.Random(3)
     texts = ["ab", "cd。", " in", "x\ny", "x。\ny\n", "", "中", "q\n\nr", "end！", "　z"]
     files = {f: [(rng.choice(["paragraph"] * 5 + ["table"]), rng.choice(texts), rng.randint(0, 1)) for _ in range(rng.randint(1, 9))] for f in range(300)}
@@ -144,95 +129,69 @@ def test_merge_against_loop(spark):
     for r in nd.merge_broken_lines(nodes_df(spark, rows)).orderBy("file_id", "idx").collect():
         got.setdefault(r["file_id"], []).append((r["type"], r["text"]))
     for f, ns in files.items():
-        assert got[f] == sequential_merge(ns), ns
+        assert got[f] == list(merged_nodes(ns)), ns
 
 
 # ---------------------------------------------------------------- chunks
 
-def loop_long(text):
-    if len(text) <= 500:
-        return [text]
-    out, cur = [], ""
-    for part in filter(None, re.split(r"(?<=[。！？\n])", text)):
+def packed(parts, step, joint, carry):
+    def add(state, part):
+        done, cur = state
+        closed = done + [cur] * bool(cur)
         if len(part) > 500:
-            out += [cur] if cur else []
-            cur = part
-            while len(cur) > 500:
-                out.append(cur[:500])
-                cur = cur[450:]
-        elif len(cur) + len(part) <= 500:
-            cur += part
-        else:
-            out += [cur] if cur else []
-            cur = cur[-50:] + part
-    return out + ([cur] if cur else [])
-
-
-def loop_lines(text):
-    if len(text) <= 500:
-        return [text]
-    out, cur = [], ""
-    for line in text.splitlines():
-        if len(line) > 500:
-            out += [cur] if cur else []
-            cur = line
-            while len(cur) > 500:
-                out.append(cur[:500])
-                cur = cur[500:]
-        elif len(cur) + len(line) + 1 <= 500:
-            cur = f"{cur}\n{line}" if cur else line
-        else:
-            out += [cur] if cur else []
-            cur = line
-    return out + ([cur] if cur else [])
+            cuts = -(-(len(part) - 500) // step)
+            return closed + [part[i * step:i * step + 500] for i in range(cuts)], part[cuts * step:]
+        if len(cur) + len(joint) + len(part) <= 500:
+            return done, joint.join((cur, part) if cur else (part,))
+        return closed, cur[len(cur) - min(carry, len(cur)):] + part
+    done, cur = reduce(add, parts, ([], ""))
+    return done + [cur] * bool(cur)
 
 
-def loop_table(text):
+def cut(kind, text):
     lines = text.splitlines()
-    if len(lines) <= 12:
-        return [text]
-    return ["\n".join(lines[:2] + lines[i:i + 10]) for i in range(2, len(lines), 10)]
-
+    if kind == "table" and len(lines) > 12:
+        return ["\n".join(lines[:2] + list(rows)) for rows in batched(lines[2:], 10)]
+    if kind in ("paragraph", "list", "code") and len(text) > 500:
+        sentences = re.findall(r"[^。！？\n]*[。！？\n]|[^。！？\n]+$", text)
+        return packed(sentences, 450, "", 50) if kind == "paragraph" else packed(lines, 500, "\n", 0)
+    return [text]
 
-def loop_chunks(nodes):
-    out, stack, pend = [], [], []
 
-    def emit(kind, text, page):
-        out.append((kind, len(out) + 1, text, " > ".join(t for _, t in stack), page))
+def open_titles(heads):
+    """Titles still open after ``heads``: those no later heading of the same or a lower level follows."""
+    return " > ".join(t for i, (level, t) in enumerate(heads) if all(later > level for later, _ in heads[i + 1:]))
 
-    def flush():
-        i = 0
-        while i < len(pend):
-            j = i
-            while j < len(pend) and pend[j][0] == pend[i][0]:
-                j += 1
-            text = "\n".join(p[1] for p in pend[i:j])
-            for piece in [text] if pend[i][0] == "paragraph" else loop_lines(text):
-                emit(pend[i][0], piece, pend[i][2])
-            i = j
-        pend.clear()
 
+def expected_chunks(nodes):
+    heads, units = [], []          # unit: (may be gathered, kind, text, path, page)
     for kind, text, level, page in nodes:
         text = text.strip()
-        if not re.sub(r"[\s\W_]+", "", text):
+        if not re.search(r"[^\W_]", text):
             continue
         if kind == "heading":
-            flush()
-            level = level or (stack[-1][0] if stack else 1)
-            while stack and stack[-1][0] >= level:
-                stack.pop()
-            stack.append((level, text))
-        elif kind == "list" or (kind == "paragraph" and len(text) < 100):
-            pend.append((kind, text, page))
-            if sum(len(p[1]) for p in pend) >= 500:
-                flush()
+            heads.append((level or (heads[-1][0] if heads else 1), text))
+            units.append((False, None, "", "", None))
         else:
-            flush()
-            for piece in {"paragraph": loop_long, "table": loop_table, "code": loop_lines}.get(kind, lambda t: [t])(text):
-                emit(kind, piece, page)
-    flush()
-    seen = set()
-    return [c for c in out if not (c[2] in seen or seen.add(c[2]))]
+            small = kind == "list" or (kind == "paragraph" and len(text) < 100)
+            units.append((small, kind, text, open_titles(heads), page))
+    rows = []
+    for small, run in groupby(units, key=lambda u: u[0]):
+        if not small:
+            rows += [(k, piece, path, page) for _, k, t, path, page in run if k for piece in cut(k, t)]
+            continue
+        run, totals = list(run), []
+        for u in run:              # number of the gathering each unit falls into
+            number, size = totals[-1] if totals else (0, 0)
+            totals.append((number + (size >= 500), (0 if size >= 500 else size) + len(u[2])))
+        for (_, kind), members in groupby(zip(totals, run), key=lambda m: (m[0][0], m[1][1])):
+            members = [u for _, u in members]
+            text = "\n".join(u[2] for u in members)
+            rows += [(kind, piece, members[0][3], members[0][4]) for piece in (cut("list", text) if kind == "list" else [text])]
+    first = {}
+    for seq, (kind, text, path, page) in enumerate(rows, 1):
+        first.setdefault(text, (kind, seq, text, path, page))
+    return list(first.values())
 
 
 def random_nodes(rng):
@@ -250,7 +209,7 @@ def random_nodes(rng):
     return out
 
 
-def test_chunker_against_loop(spark):
+def test_chunker_against_units(spark):
     rng = random.Random(11)
     docs = {d: random_nodes(rng) for d in range(150)}
     rows = [(d, [Row(type=k, text=t, level=lv, page=p) for k, t, lv, p in ns]) for d, ns in docs.items()]
@@ -260,7 +219,7 @@ def test_chunker_against_loop(spark):
         got.setdefault(r["file_id"], []).append((r["chunk_type"], r["seq"], r["content"], r["heading_path"], r["page_no"]))
         assert r["chars"] == len(r["content"])
     for d, ns in docs.items():
-        assert got.get(d, []) == loop_chunks(ns)
+        assert got.get(d, []) == expected_chunks(ns)
 
 
 def test_long_pieces_bounds(spark):
