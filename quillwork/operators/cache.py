@@ -46,13 +46,16 @@ def signatures(entries: DataFrame, files: DataFrame) -> DataFrame:
 def covered_sets(users: DataFrame, sets: DataFrame, files: DataFrame) -> DataFrame:
     """Pairs (user, sig) where the user holds a live file for every blob of the set.
 
-    Users meet a set only through its smallest blob, then the rest is counted;
-    entries with one blob set are handled once.
+    Users meet a set only through its blob with the fewest holders, then the rest
+    is counted; entries with one blob set are handled once.
     """
     held = (files.filter("status = 1 and blob_id is not null").select("user_id", "blob_id").distinct()
             .join(users.select("user_id").distinct(), "user_id", "left_semi"))
     distinct = sets.filter(F.size("blobs") > 0).select("sig", "blobs").dropDuplicates(["sig"])
-    near = distinct.withColumn("blob_id", F.element_at("blobs", 1)).join(held, "blob_id").select("user_id", "sig", "blobs")
+    holders = held.groupBy("blob_id").agg(F.count(F.lit(1)).alias("n"))
+    rarest = (distinct.select("sig", "blobs", F.explode("blobs").alias("blob_id")).join(holders, "blob_id", "left").groupBy("sig")
+              .agg(F.min_by("blob_id", F.struct(F.coalesce("n", F.lit(0)), "blob_id")).alias("blob_id"), F.first("blobs").alias("blobs")))
+    near = rarest.join(held, "blob_id").select("user_id", "sig", "blobs")
     single = near.filter(F.size("blobs") == 1).select("user_id", "sig")
     several = near.filter(F.size("blobs") > 1).select("user_id", "sig", F.size("blobs").alias("n"), F.explode("blobs").alias("blob_id"))
     full = (several.join(held, ["user_id", "blob_id"], "left_semi").groupBy("user_id", "sig", "n")

@@ -115,9 +115,29 @@ _BROKEN = ("select file_id, idx, page, type, case when idx % 5 = 1 then replace(
            "when idx % 7 = 2 then concat('  ', text) else text end as text from {v_node}")
 
 
-@query("doc7_merge_broken_lines")
+def _letters(left: str, right: str) -> str:
+    return f"case when regexp_matches({left}, '[A-Za-z]$') and regexp_matches({right}, '^[A-Za-z]') then ' ' else '' end"
+
+
+_INNER = f"""case when type = 'paragraph' and contains(text, chr(10)) then list_reduce(
+      list_transform(string_split(text, chr(10)), lambda l: {duck_strip('l')}),
+      lambda a, x: case when x = '' or (a <> '' and contains('{nd.SENTENCE_END}', right(a, 1))) then a || chr(10) || x
+                        else a || {_letters('a', 'x')} || x end) else text end"""
+
+
+@query("doc7_merge_broken_lines", f"""
+    with n as (select *, {duck_strip('text')} as t from ({_BROKEN.replace("'.{nl}'", "'.' || chr(10)")})),
+    p as (select *, lag(type) over w as ptype, lag(page) over w as ppage, lag(t) over w as pt from n window w as (partition by file_id order by idx)),
+    j as (select *, coalesce(type = 'paragraph' and ptype = 'paragraph' and page = ppage and pt <> '' and not contains('{nd.SENTENCE_END}', right(pt, 1))
+                             and t <> '' and not regexp_matches(text, '^[ \t　]'), false) as joins from p),
+    g as (select *, sum(case when joins then 0 else 1 end) over (partition by file_id order by idx) as grp, {_INNER} as inner_text from j),
+    q as (select *, case when joins then {_letters('pt', 't')} || t else inner_text end as piece, count(*) over (partition by file_id, grp) as members,
+                 not joins and len(string_split(text, chr(10))) > len(string_split(inner_text, chr(10))) as changed from g)
+    select file_id, min(idx) as idx, arg_min(type, idx) as type, arg_min(page, idx) as page,
+      string_agg(case when not joins and members > 1 then {duck_rstrip('piece')} else piece end, '' order by idx) as text,
+      bool_or(changed) or count(*) > 1 as joined
+    from q group by file_id, grp""")
 def _(fx):
-    """Checked against a sequential loop in the tests; rows only here."""
     return nd.merge_broken_lines(fx.sql(_BROKEN.replace("{nl}", "\\n")))
 
 
