@@ -8,10 +8,12 @@ anchors in count-min sketches, whose cells are cut into shards and merged shard
 by shard; the sketch is sized by the number of anchors, and no task holds more
 than a shard of it.
 
-Pass two takes only documents with an anchor estimated in two or more of them,
-hashes each window under such an anchor to 128 bits and groups these exactly by
-their smallest document. An estimate is never too low, so no repeat is lost.
-Documents with the very words of an earlier one are settled by their digest.
+Pass two takes only documents with an anchor estimated in two or more of them and
+groups exactly, by 128-bit hashes. Neighbouring windows under one anchor form a
+stretch, and equal stretches are settled by their smallest document. Only where
+different stretches share an anchor, one document of each is grouped window by
+window. An estimate is never too low, so no repeat is lost. Documents with the
+very words of an earlier one are settled by their digest.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,24 +115,58 @@ def repeated_anchors(anchors: DataFrame, bits: int) -> DataFrame:
     return out.drop("cell")
 
 
-def _window_task(window: int, gram: int):
+STRETCH = "anchor: bigint, s1: bigint, s2: bigint, start: int, count: int"
+
+
+def _stretch_task(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = Rolling(FIRST), Rolling(SECOND)
+        packer = zstandard.ZstdCompressor(level=3)
         for batch in slices(batches):
-            rows, ones, twos, places = [], [], [], []
-            for row, (text, anchors) in enumerate(zip(as_bytes(batch.column(1)), batch.column(2))):
+            texts = as_bytes(batch.column(1))
+            out: list[list[np.ndarray]] = []
+            for text, anchors in zip(texts, batch.column(2)):
                 words = text.split()
                 one = word_hashes(words)
                 mine = window_anchors(one, first, window, gram)
-                at = np.flatnonzero(np.isin(mine, np.asarray(anchors.values).view(np.uint64)))
+                start = np.concatenate([[0], np.flatnonzero(mine[1:] != mine[:-1]) + 1])
+                stop = np.append(start[1:], len(mine))
+                asked = np.isin(mine[start], np.asarray(anchors.values).view(np.uint64))
+                start, stop = start[asked], stop[asked]
+                out.append([mine[start], first.stretches(one, start, stop + window - 1),
+                            second.stretches(word_hashes(words, 1), start, stop + window - 1), start, stop - start])
+            ends = np.cumsum([0, *(len(x[0]) for x in out)])
+            anchor, s1, s2, start, count = (np.concatenate(c) for c in zip(*out))
+            found = pa.StructArray.from_arrays(
+                [*(pa.array(c.view(np.int64)) for c in (anchor, s1, s2)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
+                ["anchor", "s1", "s2", "start", "count"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(3), batch.column(4), pa.array([packer.compress(t) for t in texts], pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)], ["id", "key", "row", "packed", "stretches"])
+    return run
+
+
+def _unpacked(column: pa.Array) -> list[bytes]:
+    """Texts that were compressed to be moved."""
+    return list(map(zstandard.ZstdDecompressor().decompress, column.to_pylist()))
+
+
+def _window_task(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, second = Rolling(FIRST), Rolling(SECOND)
+        for batch in slices(batches):
+            rows, ones, twos, places = [], [], [], []
+            for row, (text, stretches) in enumerate(zip(_unpacked(batch.column(1)), batch.column(2).to_pylist())):
+                words = text.split()
+                at = np.unique(np.concatenate([np.arange(x["start"], x["start"] + x["count"]) for x in stretches]))
                 rows.append(np.full(len(at), row))
                 places.append(at)
-                ones.append(first(one, window)[at])
+                ones.append(first(word_hashes(words), window)[at])
                 twos.append(second(word_hashes(words, 1), window)[at])
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c).take(pa.array(np.concatenate(rows))) for c in (0, 3)), pa.array(np.concatenate(ones).view(np.int64)),
                  pa.array(np.concatenate(twos).view(np.int64)), pa.array(np.concatenate(places).astype(np.int32))],
-                ["id", "row", "w1", "w2", "at"])
+                ["id", "row", "w1", "w2", "start"])
     return run
 
 
@@ -137,12 +174,12 @@ def _cut_task(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts, removed = [], []
-            for text, starts in zip(as_bytes(batch.column(1)), batch.column(2)):
+            for text, found in zip(_unpacked(batch.column(1)), batch.column(2).to_pylist()):
                 words = text.split()
-                at = np.asarray(starts.values)
                 cover = np.zeros(len(words) + 1, dtype=np.int32)
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + window, -1)
+                start = np.array([x["start"] for x in found])
+                np.add.at(cover, start, 1)
+                np.add.at(cover, start + [x["count"] for x in found] + (window - 1), -1)
                 keep = np.cumsum(cover[:-1]) == 0
                 texts.append(b" ".join([w for w, k in zip(words, keep.tolist()) if k]))
                 removed.append(len(words) - int(keep.sum()))
@@ -177,17 +214,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bits = max(SHARD_BITS, int(4 * total).bit_length())
     wanted = (repeated_anchors(fresh.select("id", "key", F.explode("anchors").alias("anchor")), bits)
               .groupBy("id", "key").agg(F.collect_set("anchor").alias("anchors")))
-    hit = store(texts.join(wanted, ["id", "key"]).dropDuplicates(["id", "key"])
-                .withColumn("row", F.monotonically_increasing_id()), "hits")
-    windows = hit.select("id", "text", "anchors", "row").mapInArrow(
-        _window_task(window, gram), f"id {kind}, row bigint, w1 bigint, w2 bigint, at int")
+    hit = texts.join(wanted, ["id", "key"]).dropDuplicates(["id", "key"]).select(
+        "id", "text", "anchors", "key", F.monotonically_increasing_id().alias("row"))
+    hit = store(hit.mapInArrow(_stretch_task(window, gram), f"id {kind}, key bigint, row bigint, packed binary, "
+                               f"stretches array<struct<{STRETCH}>>"), "hits")
+    stretches = hit.select("id", "row", F.explode("stretches").alias("s")).select("id", "row", "s.*")
+    classes = store(stretches.groupBy("anchor", "s1", "s2").agg(F.min(F.struct("id", "row", "start", "count")).alias("own"),
+                                                                F.max("id").alias("last")), "classes")
+    settled = (stretches.join(classes.filter("own.id < last"), ["anchor", "s1", "s2"]).filter("id > own.id")
+               .select("row", "start", "count"))
+    mixed = classes.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor")
+    asked = (classes.join(mixed, "anchor", "left_semi").groupBy("own.row")
+             .agg(F.collect_list(F.struct("own.start", "own.count")).alias("stretches")))
+    windows = store(hit.select("id", "row", "packed").join(asked, "row").select("id", "packed", "stretches", "row")
+                    .mapInArrow(_window_task(window), f"id {kind}, row bigint, w1 bigint, w2 bigint, start int"), "windows")
     earliest = (windows.groupBy("w1", "w2").agg(F.min("id").alias("first"), F.max("id").alias("last"))
                 .filter("first < last").drop("last"))
-    later = (windows.join(earliest, ["w1", "w2"]).filter("id > first")
-             .groupBy("row").agg(F.collect_set("at").alias("starts")))
-    cut = (hit.join(later, "row").select("id", "text", "starts", "key")
+    later = windows.join(earliest, ["w1", "w2"]).filter("id > first").select("row", "start", F.lit(1).alias("count"))
+    found = settled.union(later).groupBy("row").agg(F.collect_set(F.struct("start", "count")).alias("found"))
+    cut = (hit.drop("stretches").join(found, "row").select("id", "packed", "found", "key")
            .mapInArrow(_cut_task(window), f"id {kind}, key bigint, n_removed bigint, kept string"))
     gone = copies.select("id", "key", F.lit(None).cast("bigint").alias("n_removed"), F.lit("").alias("kept"))
-    found = profile.drop("anchors").join(cut.union(gone), ["id", "key"], "left")
+    out = profile.drop("anchors").join(cut.union(gone), ["id", "key"], "left")
     n_removed = F.when(F.col("kept").isNull(), F.lit(0).cast("bigint")).otherwise(F.coalesce("n_removed", "n"))
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_words"), n_removed.alias("n_removed"), "kept", "digest")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_words"), n_removed.alias("n_removed"), "kept", "digest")

@@ -83,14 +83,23 @@ class Rolling:
             self.up = np.concatenate([self.up, self.up * np.uint64(pow(self.base, k, 1 << 64))])
             self.down = np.concatenate([self.down, self.down * np.uint64(pow(self.inverse, k, 1 << 64))])
 
-    def __call__(self, values: np.ndarray, width: int) -> np.ndarray:
+    def _sums(self, values: np.ndarray) -> np.ndarray:
         n = len(values)
-        if n < width:
-            return np.empty(0, dtype=np.uint64)
-        self._powers(n)
+        self._powers(n + 1)
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(values * self.up[:n], out=sums[1:])
-        return mix64((sums[width:] - sums[:-width]) * self.down[: n - width + 1])
+        return sums
+
+    def __call__(self, values: np.ndarray, width: int) -> np.ndarray:
+        if len(values) < width:
+            return np.empty(0, dtype=np.uint64)
+        sums = self._sums(values)
+        return mix64((sums[width:] - sums[:-width]) * self.down[: len(values) - width + 1])
+
+    def stretches(self, values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Hashes of stretches of any lengths."""
+        sums = self._sums(values)
+        return mix64((sums[stop] - sums[start]) * self.down[start] + (stop - start).astype(np.uint64))
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
