@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textkit import as_bytes, slices, sql_type
@@ -227,10 +227,29 @@ def _task(asked, ids: list, id_type: pa.DataType):
                 items[d] = sorted(named | set(items[d]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(found, span_type),
-                 pa.array(items, pa.list_(id_type))], ["id", "text", "n_words", "spans", "items"])
+                 pa.array(items, pa.list_(id_type)), *batch.columns[5:]], ["id", "text", "n_words", "spans", "items", *batch.schema.names[5:]])
     return run
 
 
+def _scan(docs: DataFrame, rest: list[str], benchmark: DataFrame, id_col: str, text_col: str, item_col: str,
+          item_text_col: str, window: int, block_bytes: int) -> DataFrame:
+    spark = docs.sparkSession
+    asked = benchmark.select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text"))
+    total = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = 1 + total // block_bytes
+    item_type = sql_type(benchmark, item_col)
+    out = docs.select(
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("bigint").alias("n_words"),
+        F.expr("CAST(array() AS array<struct<start: bigint, stop: bigint>>)").alias("spans"),
+        F.expr(f"CAST(array() AS array<{item_type}>)").alias("items"), *([F.struct(*rest).alias("rest")] if rest else []))
+    kind = pa.int64() if item_type == "bigint" else pa.int32() if item_type == "int" else pa.string()
+    for part in range(parts):  # a block of the stated query set is bounded by block_bytes and its longest item
+        rows = asked.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).collect()
+        block = spark.sparkContext.broadcast(phrases([None if r.text is None else r.text.encode() for r in rows], window))
+        out = out.mapInArrow(_task(block, [r.id for r in rows], kind), out.schema)
+    return out
+
+
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
                        block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -242,26 +261,22 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     named; repeated items count once; an item without id marks words but is not named. Repeated documents each come
     back. Other columns are not looked at. Empty tables give empty spans, or no rows.
     """
-    spark = docs.sparkSession
-    asked = benchmark.select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text"))
-    total = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = 1 + total // block_bytes
-    id_type, item_type = sql_type(docs, id_col), sql_type(benchmark, item_col)
-    out = docs.select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("bigint").alias("n_words"),
-        F.expr("CAST(array() AS array<struct<start: bigint, stop: bigint>>)").alias("spans"),
-        F.expr(f"CAST(array() AS array<{item_type}>)").alias("items"))
-    schema = (f"id {id_type}, text string, n_words bigint, spans array<struct<start: bigint, stop: bigint>>, "
-              f"items array<{item_type}>")
-    for part in range(parts):  # a block of the stated query set is bounded by block_bytes and its longest item
-        rows = asked.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).collect()
-        block = spark.sparkContext.broadcast(phrases([None if r.text is None else r.text.encode() for r in rows], window))
-        kind = pa.int64() if item_type == "bigint" else pa.int32() if item_type == "int" else pa.string()
-        out = out.mapInArrow(_task(block, [r.id for r in rows], kind), schema)
-    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, x: s + x["stop"] - x["start"])
-    return out.select(F.col("id").alias(id_col), "n_words", "spans", n_hit.alias("n_hit"), "items")
+    out = _scan(docs, [], benchmark, id_col, text_col, item_col, item_text_col, window, block_bytes)
+    return out.select(F.col("id").alias(id_col), "n_words", "spans", span_words().alias("n_hit"), "items")
+
 
+def span_words() -> Column:
+    return F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, x: s + x["stop"] - x["start"])
 
-def is_contaminated(n_hit="n_hit", n_words="n_words"):
+
+def is_contaminated(n_hit: Column, n_words: Column) -> Column:
     """The rule: some word is hit, and at least one word in twenty."""
-    return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def filter_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that are not contaminated."""
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    out = _scan(docs, rest, benchmark, id_col, text_col, "item_id", "text", WINDOW, BLOCK_BYTES)
+    clean = out.filter(~is_contaminated(span_words(), F.col("n_words")))
+    return clean.select(F.col("id").alias(id_col), F.col("text").alias(text_col), *([F.col("rest")[c].alias(c) for c in rest])).select(*docs.columns)

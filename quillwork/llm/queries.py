@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, packing, simhash, substring, warc
+from . import contamination, langid, licences, linededup, packing, quality, simhash, substring, toxicity, warc
 from .textkit import new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,94 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed",
                         F.coalesce(F.sha2("kept", 256), F.lower(F.hex("digest"))).alias("kept_sha256"))
 
+def _template_sql() -> str:
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    return ", ".join(f"({quote(name)}, {quote(text)})" for name, texts in licences.TEMPLATES.items() for text in texts)
+
+
+_BIGRAMS = """list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])
+              WHEN len(w) = 1 THEN [w[1] || ' '] ELSE [] END)"""
+
+
+@query("op5_licences", f"""
+WITH t AS (
+  SELECT licence, {_BIGRAMS} AS g FROM (
+    SELECT col0 AS licence, regexp_extract_all(lower(col1), '[\\p{{L}}\\p{{N}}]+') AS w FROM (VALUES {_template_sql()}) v)
+), p AS (
+  SELECT DISTINCT doc_id, unnest(string_split(text, chr(10)) || string_split(text, chr(10) || chr(10)) || [text]) AS part FROM documents
+), b AS (
+  SELECT doc_id, part, {_BIGRAMS} AS g FROM (
+    SELECT doc_id, part, regexp_extract_all(lower(part), '[\\p{{L}}\\p{{N}}]+') AS w FROM p)
+  WHERE len(w) > 0
+), m AS (
+  SELECT doc_id, part, licence, 2.0 * len(list_intersect(b.g, t.g)) / (len(b.g) + len(t.g)) AS score
+  FROM b JOIN t ON 0.8 * len(t.g) <= 1.2 * len(b.g) + 1e-6 AND 0.8 * len(b.g) <= 1.2 * len(t.g) + 1e-6
+), f AS (
+  SELECT doc_id, licence, score FROM m WHERE score >= 0.8 - 1e-12
+  QUALIFY row_number() OVER (PARTITION BY doc_id, part ORDER BY score DESC, licence) = 1
+)
+SELECT d.doc_id, coalesce(string_agg(DISTINCT f.licence, ',' ORDER BY f.licence), '') AS licences,
+       round(max(f.score), 9) AS best_score
+FROM documents d LEFT JOIN (SELECT doc_id, licence, max(score) AS score FROM f GROUP BY ALL) f USING (doc_id)
+GROUP BY d.doc_id
+""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.find_licences(table(spark, sf_dir, "documents"), threshold=0.8)
+    return found.select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.col("hits.licence"))), ",").alias("licences"),
+                        F.round(F.array_max("hits.score"), 9).alias("best_score"))
+
+
+@query("op6_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.weak_quality(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                        F.round("quality", 6).alias("quality"))
+
+
+def _remainder(id_col: str, parts: int):
+    return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(parts))
+
+
+@query("op7_langid")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_remainder("doc_id", 3) == 1, F.lit(False))
+    model = langid.train(docs.filter(_remainder("doc_id", 3) != 1))
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_remainder("doc_id", 5) == 0, F.lit(False))
+    net = toxicity.train(docs, table(spark, sf_dir, "labels").filter(_remainder("doc_id", 5) != 0))
+    return toxicity.score(docs, net).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op9_linededup", """
+WITH l AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS raw,
+         list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS lines
+  FROM documents
+), w AS (
+  SELECT doc_id, unnest(range(1, len(lines) - 1)) AS pos, lines FROM l
+), k AS (
+  SELECT doc_id, pos, [lines[pos], lines[pos + 1], lines[pos + 2]] AS run FROM w
+), first AS (
+  SELECT run, min({'d': doc_id, 'a': pos}) AS source FROM k GROUP BY run HAVING count(*) > 1
+), gone AS (
+  SELECT k.doc_id, list_distinct(flatten(list([pos, pos + 1, pos + 2]))) AS places
+  FROM k JOIN first USING (run) WHERE {'d': k.doc_id, 'a': k.pos} > first.source GROUP BY k.doc_id
+)
+SELECT l.doc_id, len(l.lines) AS n_lines, coalesce(len(places), 0) AS n_removed,
+       sha256(CASE WHEN places IS NULL THEN l.text ELSE array_to_string(
+         list_transform(list_filter(range(1, len(raw) + 1), lambda i: NOT list_contains(places, i)), lambda i: raw[i]), chr(10)) END) AS kept_sha256
+FROM l LEFT JOIN gone USING (doc_id)
+""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
 
 @query("op10_contamination")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +152,4 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
                         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
-                        contamination.is_contaminated().alias("contaminated"))
+                        contamination.is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
