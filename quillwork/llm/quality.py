@@ -13,6 +13,7 @@ verdict. A text stays one row throughout; nothing is exploded.
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,10 +127,9 @@ def fit(patterns: DataFrame, rules: int = len(RULES), rounds: int = ROUNDS) -> D
             .select(F.expr(f"aggregate(sequence(1, {rounds}), {start}, (s, t) -> {step})").alias("model")).select("model.*"))
 
 
-def posterior(share: float, good: list[float], bad: list[float], given: Column = F.col("votes")) -> Column:
+def posterior(share: float, good: list[float], bad: list[float], votes_col: str = "votes") -> Column:
     """Probability of a good text from its votes."""
-    from math import log
-    odds = F.lit(log(share / (1 - share)))
+    given, odds = F.col(votes_col), F.lit(log(share / (1 - share)))
     for j, (g, b) in enumerate(zip(good, bad)):
         odds = odds + F.when(given[j] == 1, log(g / (1 - b))).when(given[j] == -1, log((1 - g) / b)).otherwise(0.0)
     return 1 / (1 + F.exp(-odds))

@@ -96,7 +96,7 @@ def _sketch_task(bits: int):
     return run
 
 
-def _merge_shard(key, parts: pd.DataFrame) -> pd.DataFrame:
+def _merge_shard(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(1 << SHARD_BITS, dtype=np.int64)
     for cells, counts in zip(parts["cells"], parts["counts"]):
         total[np.frombuffer(cells, dtype="<u2")] += np.frombuffer(counts, dtype=np.uint8)

@@ -176,6 +176,7 @@ class Network:
             return []
         ids = np.concatenate(parts)
         out = np.concatenate([self.forward(gates, ids[a:a + CHUNK]) for a in range(0, len(ids), CHUNK)])
+        out[(ids == 0).all(axis=1)] = -np.inf
         return np.split(out, np.cumsum([len(x) for x in parts])[:-1])
 
     def gradients(self, words: Words, ids: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -328,7 +329,7 @@ def train_network(texts: list[bytes | None], labels: np.ndarray, prior: float, r
             for k in TABLES:
                 net.p[k][0] = 0
         if (turn + 1) % max(1, rounds // ROUNDS) == 0:
-            scores = np.array([x.max() for x in net.logits(held_words)])
+            scores = np.maximum([x.max() for x in net.logits(held_words)], -1e6)
             wrong, cut = cut_point(scores, labels[held], prior)
             if kept is None or wrong <= kept[0] or labels[held].sum() < FEW:
                 kept = wrong, cut, {k: v.copy() for k, v in net.p.items()}
@@ -382,7 +383,7 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
     """Per row of ``docs``: ``id_col``, ``score`` from 0 to 1 of its worst window, and ``worst_word``, where that window
     starts (the last window of a text may start earlier).
 
-    Null and blank texts are scored as a window of padding. Repeated rows each come back. Other columns are not looked
+    Null and blank texts have score 0. Repeated rows each come back. Other columns are not looked
     at. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
