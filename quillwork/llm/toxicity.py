@@ -263,7 +263,7 @@ def train_network(texts: list[bytes | None], labels: np.ndarray, prior: float, r
     texts is unknown, so that nothing is learned by heart from one text.
     """
     rng = np.random.default_rng(seed)
-    if labels.min(initial=1) == labels.max(initial=0):
+    if len(np.unique(labels)) < 2:
         net = Network.start(dict.fromkeys(TABLES, 1), seed)
         net.places = dict.fromkeys(("gram", "head"), np.zeros(GRAM_BINS, dtype=np.int64))
         net.p["out"][:] = 0
@@ -314,11 +314,16 @@ def train_network(texts: list[bytes | None], labels: np.ndarray, prior: float, r
         top = np.array([edges[i] + best[edges[i]:edges[i + 1]].argmax() for i in range(len(parts))])
         extra = rng.choice(clean, size=min(len(clean), len(parts)), replace=False)
         chosen = rng.permutation(np.concatenate([top, extra]))
+        short = np.zeros(len(ids), dtype=bool)
+        short[rng.choice(extra, size=len(extra) // 4, replace=False)] = True
         for a in range(0, len(chosen), STEP_WINDOWS):
             pick = chosen[a:a + STEP_WINDOWS]
             who = owner[pick]
             scale = balance[who]
-            _, grad = net.gradients(words, ids[pick], mine[who].astype(np.float32), (scale / scale.sum()).astype(np.float32))
+            # some clean windows are cut to their first words, as texts may be short
+            length = np.where(short[pick], rng.integers(1, 9, len(pick)), WINDOW)
+            seen_ids = np.where(np.arange(WINDOW) < length[:, None], ids[pick], 0)
+            _, grad = net.gradients(words, seen_ids, mine[who].astype(np.float32), (scale / scale.sum()).astype(np.float32))
             step += 1
             rate = 0.01 * min(1.0, 2 * (1 - turn / rounds)) * np.sqrt(1 - 0.999 ** step) / (1 - 0.9 ** step)
             for k, g in grad.items():
