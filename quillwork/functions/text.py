@@ -60,7 +60,8 @@ def _contains_any(markers: list[str]) -> str:
 
 
 def _first_pattern() -> str:
-    tests = ", ".join(f"CASE WHEN {{t}} RLIKE {quote(rx)} THEN {quote(name)} END"
+    # (?U): white space of every alphabet, the full-width blank too
+    tests = ", ".join(f"CASE WHEN {{t}} RLIKE {quote('(?U)' + rx)} THEN {quote(name)} END"
                       for name, rx in INJECTION_PATTERNS)
     return f"coalesce({tests}, '')"
 

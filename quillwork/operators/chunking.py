@@ -18,7 +18,6 @@ from .scan import running
 # ---- Fixed values ------------------------------------------------------------
 TARGET, OVERLAP, OWN_CHUNK, TABLE_ROWS = 500, 50, 100, 10
 PATH_JOINT = " > "
-MAX_LEVEL = 10
 EMBED_BATCH = 32
 MAX_DESCRIPTION = 5000
 # ------------------------------------------------------------------------------
@@ -58,6 +57,11 @@ def _pack(parts: Column, overlong_step: int, joint: str, carry: int) -> Column:
     return F.aggregate(parts, start, step, lambda acc: F.concat(acc["out"], _some(acc["cur"])))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def split_lines_array(text: Column) -> Column:
     """Lines as ``str.splitlines`` gives them: no empty last one."""
     lines = F.split(text, LINE_END)
@@ -91,28 +95,38 @@ def split_column(df: DataFrame, key: str, pieces: Column) -> DataFrame:
 
 # ---------------------------------------------------------------- heading paths on a node table
 
-def with_heading_path(nodes: DataFrame, max_level: int = MAX_LEVEL) -> DataFrame:
-    """CHK-1: titles above each node that is not a heading.
+def _open_paths(nodes: Column) -> Column:
+    """Heading path at each of ``nodes (type, text, level, ..)``: the open titles are a stack with rising levels.
 
-    The newest heading of level L is still open when no heading of a lower level
-    came later, which running maxima per level tell. A heading without level
-    takes the level of the heading before it.
+    Only headings are folded; the nodes from one heading to the next share its path. A heading without level takes the
+    level of the heading before it. A heading has its own title in its path.
     """
+    start = F.expr("named_struct('s', cast(array() as array<struct<level:bigint,title:string>>), 'o', array(''))")
+
+    def step(acc: Column, n: Column) -> Column:
+        level = F.coalesce(n["level"].cast("bigint"), F.try_element_at(acc["s"], F.lit(-1))["level"], F.lit(1).cast("bigint"))
+        stack = F.concat(F.filter(acc["s"], lambda e: e["level"] < level),
+                         F.array(F.struct(level.alias("level"), n["text"].alias("title"))))
+        path = F.array_join(F.transform(stack, lambda e: e["title"]), PATH_JOINT)
+        return F.struct(stack.alias("s"), F.concat(acc["o"], F.array(path)).alias("o"))
+
+    def spread(paths: Column) -> Column:
+        at = F.filter(F.transform(nodes, lambda n, i: F.when(n["type"] == "heading", i)), lambda i: i.isNotNull())
+        edges = F.concat(F.array(F.lit(0)), at, F.array(F.size(nodes)))
+        return _let(edges, lambda e: F.flatten(F.transform(paths, lambda p, k: F.array_repeat(p, F.get(e, k + 1) - F.get(e, k)))))
+
+    heads = F.filter(nodes, lambda n: n["type"] == "heading")
+    return _let(F.aggregate(heads, start, step, lambda acc: acc["o"]), spread)
+
+
+def with_heading_path(nodes: DataFrame) -> DataFrame:
+    """CHK-1: titles above each node that is not a heading. A file is put into one row, as the chunker holds it."""
     text = F.expr(sql_call("strip_text", t="text"))
     used = nodes.withColumn("text", text).filter(F.col("text") != "").filter(~fn("is_junk", t="text"))
-    block = F.floor(F.col("idx") / NODE_BLOCK)
-    head = F.col("type") == "heading"
-    lev = running(used, ["file_id"], ["idx"], block, {"_l": ("last", F.when(head, F.col("level")))})
-    lev = lev.withColumn("_lev", F.when(head, F.coalesce("_l", F.lit(1))))
-    measures = {f"_t{level}": ("max", F.when(F.col("_lev") == level, F.struct("idx", "text"))) for level in range(1, max_level + 1)}
-    seen = running(lev, ["file_id"], ["idx"], block, measures)
-    titles = []
-    for level in range(1, max_level + 1):
-        above = [F.col(f"_t{i}.idx") for i in range(1, level)]
-        later = F.greatest(F.lit(-1), F.lit(-1), *above)
-        titles.append(F.when(F.col(f"_t{level}.idx") > later, F.col(f"_t{level}.text")))
-    titles = F.array_compact(F.array(*titles))
-    return seen.filter(~head).select("file_id", "idx", "type", "text", "page", F.array_join(titles, PATH_JOINT).alias("heading_path"))
+    files = used.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("idx", "type", "text", "level", "page"))).alias("n"))
+    rows = files.select("file_id", F.explode(F.arrays_zip("n", _open_paths(F.col("n")).alias("p"))).alias("r"))
+    return rows.filter("r.n.type <> 'heading'").select(
+        "file_id", "r.n.idx", "r.n.type", "r.n.text", "r.n.page", F.col("r.p").alias("heading_path"))
 
 
 # ---------------------------------------------------------------- whole chunker inside a row
@@ -125,24 +139,16 @@ def _usable(nodes: str) -> Column:
 
 
 def _with_paths(nodes: Column) -> Column:
-    """Nodes with their heading path; the open titles are a stack with rising levels."""
-    start = F.expr("named_struct('s', cast(array() as array<struct<level:bigint,title:string>>), "
-                   "'o', cast(array() as array<struct<type:string,text:string,page:bigint,path:string>>))")
-
-    def step(acc: Column, n: Column) -> Column:
-        level = F.coalesce(n["level"], F.try_element_at(acc["s"], F.lit(-1))["level"], F.lit(1).cast("bigint"))
-        pushed = F.concat(F.filter(acc["s"], lambda e: e["level"] < level),
-                          F.array(F.struct(level.alias("level"), n["text"].alias("title"))))
-        path = F.array_join(F.transform(acc["s"], lambda e: e["title"]), PATH_JOINT)
-        row = F.struct(n["type"].alias("type"), n["text"].alias("text"), n["page"].cast("bigint").alias("page"), path.alias("path"))
-        return F.struct(F.when(n["type"] == "heading", pushed).otherwise(acc["s"]).alias("s"),
-                        F.concat(acc["o"], F.array(row)).alias("o"))
-
-    return F.aggregate(nodes, start, step, lambda acc: acc["o"])
+    """Nodes with their heading path."""
+    return _let(nodes, lambda held: F.zip_with(held, _open_paths(held), lambda n, p: F.struct(
+        n["type"].alias("type"), n["text"].alias("text"), n["page"].cast("bigint").alias("page"), p.alias("path"))))
 
 
 def _merge_units(nodes: Column) -> Column:
-    """CHK-2: short paragraphs and list items gathered until 500 characters or a break; others stay alone."""
+    """CHK-2: short paragraphs and list items gathered until 500 characters or a break; others stay alone.
+
+    Any other node is a break, so only the stretches between breaks are folded, each for itself.
+    """
     unit = "struct<kind:string,text:string,page:bigint,path:string>"
     start = F.expr(f"named_struct('open', cast(null as {unit}), 'n', cast(0 as bigint), 'o', cast(array() as array<{unit}>))")
     nothing = F.expr(f"cast(null as {unit})")
@@ -153,25 +159,39 @@ def _merge_units(nodes: Column) -> Column:
     def state(open_: Column, n: Column, out: Column) -> Column:
         return F.struct(open_.alias("open"), n.cast("bigint").alias("n"), out.alias("o"))
 
+    def small(x: Column) -> Column:
+        return (x["type"] == "list") | ((x["type"] == "paragraph") & (F.length(x["text"]) < OWN_CHUNK))
+
     def step(acc: Column, x: Column) -> Column:
         cur = acc["open"]
         closed = F.when(cur.isNull(), acc["o"]).otherwise(F.concat(acc["o"], F.array(cur)))
-        small = (x["type"] == "list") | ((x["type"] == "paragraph") & (F.length(x["text"]) < OWN_CHUNK))
         kind = F.when(x["type"] == "list", "list").otherwise("short")
         same = cur["kind"] == kind
         grown = F.when(same, row(kind, F.concat(cur["text"], F.lit("\n"), x["text"]), cur["page"], x["path"])).otherwise(
             row(kind, x["text"], x["page"], x["path"]))
         before = F.when(same, acc["o"]).otherwise(closed)
         total = acc["n"] + F.length(x["text"])
-        full = total >= TARGET
-        alone = row(x["type"], x["text"], x["page"], x["path"])
-        return (F.when(small & full, state(nothing, F.lit(0), F.concat(before, F.array(grown))))
-                .when(small, state(grown, total, before))
-                .when(x["type"] == "heading", state(nothing, F.lit(0), closed))
-                .otherwise(state(nothing, F.lit(0), F.concat(closed, F.array(alone)))))
+        return (F.when(total >= TARGET, state(nothing, F.lit(0), F.concat(before, F.array(grown))))
+                .otherwise(state(grown, total, before)))
+
+    def folded(part: Column) -> Column:
+        return F.aggregate(part, start, step, lambda acc: F.when(acc["open"].isNull(), acc["o"]).otherwise(
+            F.concat(acc["o"], F.array(acc["open"]))))
+
+    def stretches(held: Column) -> Column:
+        breaks = F.filter(F.transform(held, lambda x, i: F.when(~F.coalesce(small(x), F.lit(False)), i)), lambda i: i.isNotNull())
+
+        def stretch(edges: Column, k: Column) -> Column:
+            first, last = F.get(edges, k) + 1, F.get(edges, k + 1)
+            x = F.get(held, last)
+            alone = F.when(x.isNull() | (x["type"] == "heading"), F.expr(f"cast(array() as array<{unit}>)")).otherwise(
+                F.array(row(x["type"], x["text"], x["page"], x["path"])))
+            return F.concat(folded(F.slice(held, first + 1, last - first)), alone)
+
+        edges = F.concat(F.array(F.lit(-1)), breaks, F.array(F.size(held)))
+        return _let(edges, lambda e: F.flatten(F.transform(F.sequence(F.lit(0), F.size(e) - 2), lambda k: stretch(e, k))))
 
-    return F.aggregate(nodes, start, step, lambda acc: F.when(acc["open"].isNull(), acc["o"]).otherwise(
-        F.concat(acc["o"], F.array(acc["open"]))))
+    return _let(nodes, stretches)
 
 
 def _pieces(units: Column) -> Column:
@@ -199,11 +219,12 @@ def chunk_documents(docs: DataFrame, key: str = "file_id", nodes: str = "nodes")
     No shuffle: a document is cut, numbered and de-duplicated in its own row.
     """
     staged = docs.select(key, _pieces(_merge_units(_with_paths(_usable(nodes)))).alias("_p"))
-    contents = staged.withColumn("_c", F.transform("_p", lambda p: p["content"]))
-    first = F.filter(
-        F.transform("_p", lambda p, i: F.struct((i + 1).cast("bigint").alias("seq"), p.alias("p"))),
-        lambda x: F.array_position(F.col("_c"), x["p"]["content"]) == x["seq"])
-    return contents.select(key, F.explode_outer(first).alias("x")).filter("x is not null").select(
+    # equal contents are neighbours once sorted; the first of each has the least number
+    by_content = F.array_sort(F.transform("_p", lambda p, i: F.struct(p["content"].alias("content"), i.alias("i"))))
+    first = _let(by_content, lambda s: F.array_sort(F.transform(
+        F.filter(s, lambda x, k: (k == 0) | (F.get(s, k - 1)["content"] != x["content"])), lambda x: x["i"])))
+    kept = F.transform(first, lambda i: F.struct((i + 1).cast("bigint").alias("seq"), F.get("_p", i).alias("p")))
+    return staged.select(key, F.explode_outer(kept).alias("x")).filter("x is not null").select(
         key, "x.p.chunk_type", "x.seq", "x.p.content", F.length("x.p.content").cast("bigint").alias("chars"),
         "x.p.heading_path", "x.p.page_no")
 
@@ -291,14 +312,26 @@ def chunk_counts(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("file_id", "chunk_type").agg(F.count(F.lit(1)).alias("chunks"), F.min("seq").alias("first_seq"))
 
 
+def _refusal(text: str) -> Column:
+    pattern = fn("injection_pattern", t=text)
+    return (F.when(F.coalesce(F.col(text), F.lit("")) == "", "empty").when(F.length(text) > MAX_DESCRIPTION, "too_long")
+            .when(pattern != "", F.concat(F.lit("prompt_injection:"), pattern)).otherwise(""))
+
+
+def refused_descriptions(descriptions: DataFrame) -> DataFrame:
+    """IDX-5: descriptions that are not taken, each with the reason."""
+    clean = descriptions.withColumn("text", F.expr(sql_call("strip_text", t="text")))
+    return clean.withColumn("reason", _refusal("text")).filter("reason <> ''").select("desc_id", "file_id", "reason")
+
+
 def append_descriptions(chunks: DataFrame, descriptions: DataFrame) -> DataFrame:
     """IDX-5: manual descriptions become the next chunks of their file after screening.
 
-    ``descriptions(desc_id, file_id, page_no, text)``; several for one file follow each other by ``desc_id``.
+    ``descriptions(desc_id, file_id, page_no, text)``; several for one file follow each other by ``desc_id``. Those
+    that do not pass are in ``refused_descriptions``.
     """
     clean = descriptions.withColumn("text", F.expr(sql_call("strip_text", t="text")))
-    passed = clean.filter((F.col("text") != "") & (F.length("text") <= MAX_DESCRIPTION)
-                          & (fn("injection_pattern", t="text") == ""))
+    passed = clean.filter(_refusal("text") == "")
     last = chunks.groupBy("file_id").agg(F.max("seq").alias("_last"))
     nth = running(passed, ["file_id"], ["desc_id"], F.floor(F.col("desc_id") / NODE_BLOCK), {"_n": ("count", F.lit(1))})
     return nth.join(last, "file_id", "left").select(

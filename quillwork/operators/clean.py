@@ -65,8 +65,8 @@ def drop_junk(nodes: DataFrame, text: str = "text") -> DataFrame:
 
 
 def file_flags(nodes: DataFrame) -> DataFrame:
-    """CLN-3: every cleaning flag of a file, sorted."""
-    one = nodes.select("file_id", F.explode("flags").alias("flag")).distinct()
+    """CLN-3: every cleaning flag of a file, sorted; none for a clean file."""
+    one = nodes.select("file_id", F.explode_outer("flags").alias("flag")).distinct()
     return one.groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_list("flag")), ",").alias("flags"))
 
 
@@ -134,15 +134,14 @@ def classify_errors(errors: DataFrame) -> DataFrame:
         _cut(flat, SUMMARY_CHARS).alias("summary"), _cut(flat, DETAIL_CHARS).alias("detail"))
 
 
-def screen_queries(df: DataFrame, column: str) -> DataFrame:
-    """SAF-1: cut and screen queries; the first injection pattern found is named."""
-    stripped = F.expr(sql_call("strip_text", t=f"coalesce({column}, '')"))
-    cut = df.withColumn("query", F.substring(stripped, 1, MAX_QUERY_CHARS))
+def screen_queries(df: DataFrame, column: str, max_chars: int = MAX_QUERY_CHARS) -> DataFrame:
+    """SAF-1: screen whole queries and cut what is shown; the first injection pattern found is named."""
+    stripped = df.withColumn("query", F.expr(sql_call("strip_text", t=f"coalesce({column}, '')")))
     pattern = fn("injection_pattern", t="query")
-    return cut.withColumn("pattern", pattern).withColumn(
+    return stripped.withColumn("pattern", pattern).withColumn(
         "reason", F.when(F.col("query") == "", "empty_query").when(
             F.col("pattern") != "", F.concat(F.lit("prompt_injection:"), F.col("pattern"))).otherwise("")).withColumn(
-        "safe", F.col("reason") == "")
+        "safe", F.col("reason") == "").withColumn("query", F.substring("query", 1, max_chars))
 
 
 def screen_documents(df: DataFrame, column: str) -> DataFrame:

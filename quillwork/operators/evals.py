@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import fn
@@ -76,7 +77,7 @@ def aggregate_eval(scores: DataFrame) -> DataFrame:
 def exclude_types(hits: DataFrame, types: list[str]) -> DataFrame:
     """EVL-6: drop chunk types after the search; what remains moves up."""
     kept = hits.filter(~F.col("chunk_type").isin(types)).withColumnRenamed("rank", "old_rank")
-    return top_per_group(kept, ["query_id"], [F.col("old_rank")], 100)
+    return kept.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("old_rank")).cast("bigint"))
 
 
 def compare_systems(rankings: DataFrame, golden: DataFrame, systems: list[str], k: int = 5) -> DataFrame:

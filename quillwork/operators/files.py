@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import compose_nfc
 from .scan import latest_per_key, running, top_per_group
 
 # ---- Fixed values ------------------------------------------------------------
@@ -196,8 +197,12 @@ def document_status(files: DataFrame, tasks: DataFrame, chunks: DataFrame) -> Da
 
 
 def clean_filename(name: str) -> Column:
-    """FIL-14 without Unicode normalisation: base name, forbidden characters, blank names, last 255 characters."""
-    base = F.regexp_extract(F.regexp_replace(name, "/+$", ""), r"([^/]*)$", 1)
+    """FIL-14: composed base name, forbidden characters, blank names, last 255 characters.
+
+    Only names beyond ASCII are composed, the one step that needs Python.
+    """
+    composed = F.when(F.col(name).rlike(r"[^\x00-\x7f]"), compose_nfc(name)).otherwise(F.col(name))
+    base = F.regexp_extract(F.regexp_replace(composed, "/+$", ""), r"([^/]*)$", 1)
     safe = F.regexp_replace(base, r'[\x00-\x1f\\/:*?"<>|]', "_")
     bad = F.col(name).isNull() | (F.trim(name) == "") | (F.trim(safe) == "") | safe.isin(".", "..")
     return F.when(bad, "unnamed").otherwise(F.substring(

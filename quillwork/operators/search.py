@@ -255,7 +255,7 @@ def multi_search(queries: DataFrame, subqueries: DataFrame, chunks: DataFrame, s
 
     ``subqueries(query_id, sub_no, question, embedding)``.
     """
-    subs = subqueries.withColumn("sub_id", F.col("query_id") * 1000 + F.col("sub_no"))
+    subs = cut_lineage(subqueries.withColumn("sub_id", F.monotonically_increasing_id()))
     coarse = hybrid_search(subs.select(F.col("sub_id").alias("query_id"), "question", "embedding"), chunks,
                            top_k=SUBQUERY_TOP, use_rerank=False)
     hits = coarse.withColumnRenamed("query_id", "sub_id").join(subs.select("sub_id", "query_id", "sub_no"), "sub_id")

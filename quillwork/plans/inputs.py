@@ -120,25 +120,25 @@ SPLIT: dict[str, tuple[str, str]] = {
     "v_markdown": (
         """select doc_id, concat('# ', source, '\\n\\n', array_join(transform(split(text, '\\n'), (x, i) ->
               case (doc_id + i) % 11
-                when 1 then concat('## ', substring(x, 1, 30))
-                when 2 then concat('### ', substring(x, 5, 20))
+                when 1 then concat('## ', x)
+                when 2 then concat('### ', x)
                 when 3 then concat('- ', x)
-                when 4 then concat('| a | b |\\n|---|---|\\n| ', substring(x, 1, 12), ' | 2 |\\n| ', substring(x, 9, 9), ' | 3 |')
-                when 5 then concat('```\\n', substring(x, 1, 80), '\\n# no heading\\n```')
-                when 6 then concat('  1. ', substring(x, 1, 60))
-                when 7 then concat('[', substring(x, 1, 20), '](http://a.b/c) ', x)
-                when 8 then concat('| ', substring(x, 1, 15), ' |')
+                when 4 then concat('| a | b |\\n|---|---|\\n| ', x, ' | 2 |\\n| ', x, ' | 3 |')
+                when 5 then concat('```\\n', x, '\\n# no heading\\n```')
+                when 6 then concat('  1. ', x)
+                when 7 then concat('[', x, '](http://a.b/c) ', x)
+                when 8 then concat('| ', x, ' |')
                 else x end), '\\n\\n')) as text from {documents}""",
         """select doc_id, concat('# ', source, chr(10), chr(10), array_to_string(list_transform(string_split(text, chr(10)), lambda x, i:
               case (doc_id + i - 1) % 11
-                when 1 then concat('## ', substring(x, 1, 30))
-                when 2 then concat('### ', substring(x, 5, 20))
+                when 1 then concat('## ', x)
+                when 2 then concat('### ', x)
                 when 3 then concat('- ', x)
-                when 4 then concat('| a | b |', chr(10), '|---|---|', chr(10), '| ', substring(x, 1, 12), ' | 2 |', chr(10), '| ', substring(x, 9, 9), ' | 3 |')
-                when 5 then concat('```', chr(10), substring(x, 1, 80), chr(10), '# no heading', chr(10), '```')
-                when 6 then concat('  1. ', substring(x, 1, 60))
-                when 7 then concat('[', substring(x, 1, 20), '](http://a.b/c) ', x)
-                when 8 then concat('| ', substring(x, 1, 15), ' |')
+                when 4 then concat('| a | b |', chr(10), '|---|---|', chr(10), '| ', x, ' | 2 |', chr(10), '| ', x, ' | 3 |')
+                when 5 then concat('```', chr(10), x, chr(10), '# no heading', chr(10), '```')
+                when 6 then concat('  1. ', x)
+                when 7 then concat('[', x, '](http://a.b/c) ', x)
+                when 8 then concat('| ', x, ' |')
                 else x end), concat(chr(10), chr(10)))) as text from {documents}"""),
     # nodes with dirt: special blanks, control and zero-width characters, page and box
     "v_node": (

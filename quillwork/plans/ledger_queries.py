@@ -306,13 +306,13 @@ def _(fx):
     return fil.document_status(fx.v_user_file, fx.v_parse_task, fx.v_chunk)
 
 
-_NAMES = """select page_id as id, case page_id % 5 when 0 then concat(url, '/') when 1 then replace(url, '/', '\\\\') when 2 then '  '
-        when 3 then concat(substring(html, 1, 400), '.md') else '..' end as raw from {pages}"""
+_NAMES = """select page_id as id, case page_id % 6 when 0 then concat(url, '/') when 1 then replace(url, '/', '\\\\') when 2 then '  '
+        when 3 then concat(html, '.md') when 4 then concat('été ü', page_id) else '..' end as raw from {pages}"""
 
 
 @query("fil14_clean_filename", """
     select id, case when trim(raw) = '' or trim(safe) = '' or safe in ('.', '..') then 'unnamed' else right(safe, 255) end as filename
-    from (select id, raw, regexp_replace(regexp_extract(regexp_replace(raw, '/+$', ''), '([^/]*)$', 1), '[\\x00-\\x1f\\\\/:*?"<>|]', '_', 'g') as safe
+    from (select id, raw, regexp_replace(regexp_extract(regexp_replace(nfc_normalize(raw), '/+$', ''), '([^/]*)$', 1), '[\\x00-\\x1f\\\\/:*?"<>|]', '_', 'g') as safe
           from (""" + _NAMES.replace("'\\\\'", "chr(92)") + "))")
 def _(fx):
     raw = fx.sql(_NAMES.replace("'\\\\'", "char(92)"))

@@ -223,10 +223,14 @@ def _(fx):
     return jobs.live_metrics(fx.events.selectExpr(*_LIVE), "2 hours", "1 hour")
 
 
-@query("str10_live_metrics_stream", _HOUR.replace("group by s", "group by s having s + 3600 <= (select floor((max(epoch_ms(ts)) - 600000) / 1000) from {events})"))
+@query("str10_live_metrics_stream", _HOUR)
 def _(fx):
-    """Only windows that the watermark has closed are out."""
-    return run_to_end(fx, jobs.live_metrics(event_stream(fx).selectExpr(*_LIVE)))
+    """Windows are out as soon as they change, and a later state replaces an earlier one."""
+    root = f"{ensure_checkpoint_dir(fx.spark)}/live-{uuid.uuid4().hex}"
+    stream = jobs.live_metrics(event_stream(fx).selectExpr(*_LIVE))
+    (stream.writeStream.foreachBatch(lambda batch, batch_id: jobs.upsert_windows(batch, batch_id, f"{root}/out")).outputMode("update")
+     .option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination())
+    return jobs.current_windows(fx.spark, f"{root}/out")
 
 
 @query("str10_session_metrics", """

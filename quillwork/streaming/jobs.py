@@ -26,10 +26,11 @@ def document_chunks(docs: DataFrame) -> DataFrame:
 
 def write_batch(batch: DataFrame, batch_id: int, out: str) -> None:
     """Append the chunks of a micro-batch under its number, so that a repeated batch overwrites itself."""
-    newest = batch.groupBy("file_id").agg(F.max_by(F.struct("name", "text"), "seen").alias("r")).select("file_id", "r.name", "r.text")
+    newest = batch.groupBy("file_id").agg(F.max_by(F.struct("name", "text"), "seen").alias("r"), F.max("seen").alias("seen")).select(
+        "file_id", "r.name", "r.text", "seen")
     chunks = document_chunks(newest)
     chunks.write.mode("overwrite").parquet(f"{out}/chunks/batch={batch_id}")
-    newest.select("file_id").write.mode("overwrite").parquet(f"{out}/files/batch={batch_id}")
+    newest.select("file_id", "seen").write.mode("overwrite").parquet(f"{out}/files/batch={batch_id}")
 
 
 def start_ingest(spark: SparkSession, source: str, out: str, checkpoint: str, schema: str = DOCUMENT + ", seen bigint") -> StreamingQuery:
@@ -40,8 +41,8 @@ def start_ingest(spark: SparkSession, source: str, out: str, checkpoint: str, sc
 
 
 def current_chunks(spark: SparkSession, out: str) -> DataFrame:
-    """Chunks of the newest batch of each file: replacement by reading, without rewriting the table."""
-    files = spark.read.parquet(f"{out}/files").groupBy("file_id").agg(F.max("batch").alias("batch"))
+    """Chunks of each file's newest text, whenever it arrived: replacement by reading, without rewriting the table."""
+    files = spark.read.parquet(f"{out}/files").groupBy("file_id").agg(F.max_by("batch", F.struct("seen", "batch")).alias("batch"))
     return spark.read.parquet(f"{out}/chunks").join(files, ["file_id", "batch"], "left_semi").drop("batch")
 
 
@@ -64,6 +65,18 @@ def live_metrics(events: DataFrame, length: str = "1 hour", slide: str | None =
                        "answers", "refused", "cache_hits", "avg_ms")
 
 
+def upsert_windows(batch: DataFrame, batch_id: int, out: str) -> None:
+    """Keep the windows a micro-batch changed under its number, so that a repeated batch overwrites itself."""
+    batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+
+def current_windows(spark: SparkSession, out: str) -> DataFrame:
+    """The newest state of each window written by ``upsert_windows``, open ones too."""
+    rows = spark.read.parquet(out)
+    state = [c for c in rows.columns if c not in ("start_s", "batch")]
+    return rows.groupBy("start_s").agg(F.max_by(F.struct(*state), "batch").alias("r")).select("start_s", "r.*")
+
+
 def session_metrics(events: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
     """STR-10: answers per stretch of activity of a user."""
     base = events.withWatermark("ts", delay) if events.isStreaming else events
