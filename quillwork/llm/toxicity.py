@@ -308,7 +308,7 @@ def train_network(texts: list[bytes | None], labels: np.ndarray, prior: float, r
     rounds = max(rounds, STEPS * STEP_WINDOWS // (2 * len(parts)))
     guided = GUIDED * rounds // ROUNDS
     for turn in range(rounds):
-        if turn >= guided:
+        if turn >= guided and (turn - guided) % 2 == 0:
             gates = net.projected(net.inputs(words))
             best = np.concatenate([net.forward(gates, ids[a:a + CHUNK]) for a in range(0, len(ids), CHUNK)])
         top = np.array([edges[i] + best[edges[i]:edges[i + 1]].argmax() for i in range(len(parts))])
