@@ -31,7 +31,7 @@ GRAM_BINS = 1 << 18
 GRAMS, HEADS = (3, 4, 5), (3, 4, 5, 6, 7)
 DIM, HIDDEN, ATTENTION = 8, 8, 8
 TABLES = ("word", "gram", "head")
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 2000
 ROUNDS, GUIDED, STEPS, STEP_WINDOWS = 14, 2, 240, 128
 HELD, MIN_DOCS, CHANCE, FEW = 5, 5, 4.0, 20
 SLOW = np.float32(0.3)  # rate of the embeddings against that of the layers
