@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import mrr, register_table_functions, rrf_score
 from ..functions.text import REFUSAL_MARKERS, register_functions
+from ..operators.search import pair_scorer
 from .answer_queries import _NORMAL, duck_tokens
 from .registry import query
-from .text_queries import _duck_split
+from .text_queries import ORACLE_SPLIT_TABLE, _duck_split
 
 _TEXTS = "select doc_id, concat(text, case when doc_id % 4 = 0 then ' 未找到。' when doc_id % 4 = 1 then '？' else '' end) as query from {documents}"
 
@@ -49,6 +50,32 @@ def _(fx):
     return fx.spark.sql("select d.doc_id, cast(n.piece_no as bigint) as piece_no, n.piece from {d} d, lateral chunk_text(d.text) n", d=fx.documents)
 
 
+_TABLES = """select l_orderkey % 7000 as table_id, l_orderkey * 100 + l_linenumber as row_no, l_partkey from {lineitem}"""
+
+
+@query("udf2_split_table", ORACLE_SPLIT_TABLE)
+def _(fx):
+    register_table_functions(fx.spark)
+    rows = fx.sql(_TABLES).groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("row_no", "l_partkey"))).alias("rows"))
+    tables = rows.selectExpr("table_id", "concat('| a | b |\\n|---|---|\\n', array_join(transform(rows, r -> concat('| ', r.row_no, ' | ', r.l_partkey, ' |')), '\\n')) as text")
+    return fx.spark.sql("select t.table_id, cast(n.piece_no as bigint) as piece_no, n.piece from {t} t, lateral split_table(t.text) n", t=tables)
+
+
+class SharedWords:
+    """Scorer plug-in: number of different words that question and passage share."""
+
+    def score(self, questions: list[str], passages: list[str]) -> list[float]:
+        return [float(len(set(q.split(" ")) & set(p.split(" ")))) for q, p in zip(questions, passages)]
+
+
+@query("udf3_pair_scorer", """
+    select d.doc_id, b.item_id, cast(len(list_intersect(string_split(b.text, ' '), string_split(d.text, ' '))) as double) as score
+    from {documents} d join {benchmark} b on b.item_id = d.doc_id % 40""")
+def _(fx):
+    pairs = fx.documents.alias("d").join(fx.benchmark.alias("b"), F.expr("b.item_id = d.doc_id % 40"))
+    return pairs.select("d.doc_id", "b.item_id", pair_scorer(SharedWords)(F.col("b.text"), F.col("d.text")).alias("score"))
+
+
 @query("udf4_rank_aggregates", """
     select user_id, round(sum(1.0::double / (60 + r)), 6) as rrf, round(avg(coalesce(1.0::double / m, 0)), 6) as mrr
     from (select user_id, event_id % 50 + 1 as r, case when event_id % 3 = 0 then null else event_id % 7 + 1 end as m from {events}) group by user_id""")

@@ -252,6 +252,16 @@ def _(fx):
     return ev.apply_decisions(*text)[0].select("code", "content", F.col("version").cast("bigint").alias("version"))
 
 
+@query("prm1_decided_approvals", f"""
+    with f as (select * from (select *, row_number() over (partition by approval_id order by seq) as rn from ({_DECISIONS})) where rn = 1)
+    select a.id, a.prompt_code, case when a.decision = 'pending' and f.decision is not null
+             then case when f.decision = 'approved' then 'approved' else 'rejected' end else a.decision end as decision
+    from ({_APPROVALS}) a left join f on f.approval_id = a.id""")
+def _(fx):
+    text = [fx.sql(t.replace("varchar(20)", "string")) for t in (_REG, _APPROVALS, _DECISIONS)]
+    return ev.apply_decisions(*text)[1].select("id", "prompt_code", "decision")
+
+
 # ---------------------------------------------------------------- operational metrics
 
 def _timed(fx):

@@ -2,16 +2,75 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import files as fil
 from ..operators import ledger, tasks
+from ..session import ensure_checkpoint_dir
 from ..sources import files as src
+from ..sources import tables
 from .inputs import NOW_S
 from .registry import query
 
+
+def new_root(fx, name: str) -> str:
+    """A new folder beside the checkpoints for what a query writes and reads back."""
+    return f"{ensure_checkpoint_dir(fx.spark)}/{name}-{uuid.uuid4().hex}"
+
+
 # ---------------------------------------------------------------- sources
 
+_RAW = "regexp_replace(text, '[^ -~]', '?'{g})"
+
+
+@query("src1_decode_text", f"""
+    select doc_id, case doc_id % 4 when 0 then text when 1 then '你好' || {_RAW.format(g=", 'g'")} when 2 then replace(text, ' ', chr(10)) end as text,
+      case when doc_id % 4 = 3 then 'encoding not recognised' end as error from {{documents}}""")
+def _(fx):
+    """UTF-8 with a byte order mark, GBK, foreign line ends and bytes of no encoding."""
+    raw = fx.sql(f"""select doc_id, case doc_id % 4 when 0 then unhex('EFBBBF') || encode(text, 'UTF-8')
+        when 1 then unhex('C4E3BAC3') || encode({_RAW.format(g='')}, 'UTF-8') when 2 then encode(replace(text, ' ', '\r\n'), 'UTF-8')
+        else unhex('FFFEFF20FF') end as content from {{documents}}""")
+    return src.decode_text(raw).select("doc_id", "text", "error")
+
+
+@query("src1_read_text_files", """
+    select source, cast(sum(length(text) + 1) as bigint) as chars, cast(sum(len(string_split(text, chr(10)))) as bigint) as lines
+    from {documents} group by source""")
+def _(fx):
+    """Texts written to files first, a folder per source, and read back as files."""
+    root = new_root(fx, "texts")
+    fx.documents.select("source", "text").write.partitionBy("source").text(root)
+    files = src.read_text_files(fx.spark, root, "*.txt").filter("error is null")
+    return files.groupBy(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source")).agg(
+        F.sum(F.length("text")).alias("chars"), F.sum(F.size(F.split("text", "\n")) - 1).cast("bigint").alias("lines"))
+
+
+@query("src2_load_relation", """
+    select o_orderkey as id, o_custkey as user_id, o_orderstatus as action, o_orderpriority as target, cast(o_orderkey % 900 as bigint) as elapsed_ms
+    from {orders}""")
+def _(fx):
+    """A stored relation read through its fixed schema; the column that is not stored comes back empty."""
+    root = new_root(fx, "relations")
+    fx.sql("select o_orderkey as id, o_custkey as user_id, o_orderstatus as action, o_orderpriority as target, o_orderkey % 900 as elapsed_ms, "
+           "'x' as not_declared from {orders}").write.parquet(f"{root}/audit_log")
+    return tables.load(fx.spark, root, "audit_log").filter("created_at is null").drop("created_at")
+
+
+@query("src3_read_questions", """
+    select cast(item_id as varchar) as id, text as question, case item_id % 4 when 0 then 'factual' else 'table' end as dimension, item_id % 3 = 0 as in_regression
+    from {benchmark}""")
+def _(fx):
+    """Question sets written as JSON files, wrapped ones and bare arrays, and read back."""
+    root = new_root(fx, "questions")
+    body = "struct(cast(item_id as string) as id, text as question, if(item_id % 4 = 0, 'factual', 'table') as dimension, item_id % 3 = 0 as in_regression)"
+    sets = fx.benchmark.groupBy((F.col("item_id") % 6).alias("part")).agg(F.collect_list(F.expr(body)).alias("questions"))
+    text = F.when(F.col("part") < 3, F.to_json(F.struct("questions"))).otherwise(F.to_json("questions"))
+    sets.select("part", text.alias("value")).write.partitionBy("part").text(root)
+    return src.read_questions(fx.spark, f"{root}/part=*").select("id", "question", "dimension", "in_regression")
+
 
 @query("src2_load_tables", """
     select owner_type, cast(status as bigint) as status, count(*) as files, cast(sum(file_size) as bigint) as bytes

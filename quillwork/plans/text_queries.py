@@ -196,13 +196,16 @@ def _(fx):
 
 
 
-@query("chk4_split_table", """
+ORACLE_SPLIT_TABLE = """
     with t as (select table_id, '| a | b |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || row_no || ' | ' || l_partkey || ' |', chr(10) order by row_no, l_partkey) as text
                from (select l_orderkey % 7000 as table_id, l_orderkey * 100 + l_linenumber as row_no, l_partkey from {lineitem}) group by table_id),
     l as (select table_id, text, string_split(text, chr(10)) as l from t),
     p as (select table_id, case when len(l) <= 12 then [text] else list_transform(range(cast(ceil((len(l) - 2) / 10.0) as bigint)),
              lambda i: l[1] || chr(10) || l[2] || chr(10) || array_to_string(l[i * 10 + 3 : i * 10 + 12], chr(10))) end as p from l)
-    select table_id, unnest(range(len(p))) as piece_no, unnest(p) as piece from p""")
+    select table_id, unnest(range(len(p))) as piece_no, unnest(p) as piece from p"""
+
+
+@query("chk4_split_table", ORACLE_SPLIT_TABLE)
 def _(fx):
     rows = fx.lineitem.selectExpr("l_orderkey % 7000 as table_id", "l_orderkey * 100 + l_linenumber as row_no", "l_partkey")
     text = rows.groupBy("table_id").agg(F.array_join(F.transform(
