@@ -63,6 +63,15 @@ def covered_sets(users: DataFrame, sets: DataFrame, files: DataFrame) -> DataFra
     return single.unionByName(full)
 
 
+def holds(pairs: DataFrame, sets: DataFrame, files: DataFrame) -> DataFrame:
+    """Those of the ``pairs (user_id, sig)`` where the user holds a live file for every blob of the set."""
+    asked = pairs.distinct().join(sets.filter(F.size("blobs") > 0).select("sig", "blobs").dropDuplicates(["sig"]), "sig")
+    needed = asked.select("user_id", "sig", F.size("blobs").alias("n"), F.explode("blobs").alias("blob_id"))
+    held = files.filter("status = 1 and blob_id is not null").select("user_id", "blob_id")
+    return (needed.join(held, ["user_id", "blob_id"], "left_semi").groupBy("user_id", "sig", "n")
+            .agg(F.count(F.lit(1)).alias("have")).filter("have = n").select("user_id", "sig"))
+
+
 def _best_two(entries: DataFrame, keys: list[str]) -> DataFrame:
     """Two best entries of different users per key: one of them is never the asker's own."""
     order = F.struct("hit_count", "updated_s", (-F.col("id")).alias("o"))
@@ -89,8 +98,9 @@ def cache_shared(asks: DataFrame, cache: DataFrame, files: DataFrame, compat: bo
 
     usable = tagged if compat else tagged.filter("whole")
     best = _best_two(usable.filter(F.size("blobs") > 0), ["query_hash", "sig"])
-    cover = covered_sets(asks, usable, files)
-    found = pick(pairs.join(best, "query_hash").join(cover, ["user_id", "sig"], "left_semi")).select("user_id", "query_hash", "o")
+    near = pick(pairs.join(best, "query_hash"))
+    cover = holds(near.select("user_id", "sig"), usable, files)
+    found = near.join(cover, ["user_id", "sig"], "left_semi").select("user_id", "query_hash", "o")
     if compat:
         state = files.filter("status = 1").groupBy("user_id").agg(F.bool_or(F.col("blob_id").isNull()).alias("lax"))
         asked = pairs.join(state, "user_id", "left")

@@ -130,10 +130,11 @@ def run_results(results: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def ablation(metrics: DataFrame, base: str) -> DataFrame:
-    """EVL-11: overall metrics of each variant and their distance to the base variant."""
-    reference = metrics.filter(F.col("variant") == base).select(*COMPARED).first()   # one row of numbers
+    """EVL-11: overall metrics of each variant and their distance to the base variant; null where that is missing."""
+    found = metrics.filter(F.col("variant") == base).select(*COMPARED).first()   # one row of numbers
+    reference = found.asDict() if found else {}
     return metrics.select("variant", *COMPARED, *[
-        F.bround(F.col(m) - F.lit(reference[m]), 4).alias(f"d_{m}") for m in COMPARED])
+        F.bround(F.col(m) - F.lit(reference.get(m)).cast("double"), 4).alias(f"d_{m}") for m in COMPARED])
 
 
 # ---------------------------------------------------------------- feedback

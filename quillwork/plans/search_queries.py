@@ -14,11 +14,11 @@ BOTH["v_chunk_row"] = """
            case when d.doc_id % 9 = 4 then 'image' else 'paragraph' end as chunk_type, d.doc_id % 6 as page_no, e.embedding
     from {documents} d left join {embeddings} e on e.vec_id = d.doc_id"""
 BOTH["v_search_chunk"] = """
-    select c.*, f.filename, f.owner_type, f.org_id, f.user_id from {v_chunk_row} c join {v_user_file} f on f.id = c.file_id and f.status = 1"""
+    select c.*, f.filename, f.owner_type, f.org_id, f.user_id, f.dir_id from {v_chunk_row} c join {v_user_file} f on f.id = c.file_id and f.status = 1"""
 BOTH["v_question"] = """
     select b.item_id as query_id, b.text as question, b.item_id % 5 as org_id, b.item_id % 26 as top_k, e.embedding
     from {benchmark} b left join {embeddings} e on e.vec_id = b.item_id"""
-_SUB = """select b.item_id as query_id, b.sub_no, case b.sub_no when 0 then b.text when 1 then substring(b.text, 1, 60) else substring(b.text, 61, 200) end as question,
+_SUB = """select b.item_id as query_id, b.sub_no, case b.sub_no when 0 then b.text when 1 then substring(b.text, 1, 60) else substring(b.text, 61) end as question,
            e.embedding from (%s) b left join {embeddings} e on e.vec_id = b.item_id + 3 * b.sub_no"""
 SPLIT["v_subquestion"] = (_SUB % "select item_id, text, sub_no from {benchmark} lateral view explode(array(0, 1, 2)) t as sub_no",
                           _SUB % "select item_id, text, unnest([0, 1, 2]) as sub_no from {benchmark}")
@@ -154,6 +154,12 @@ def _(fx):
     return rounded(ve.vector_topk(_queries(fx), _chunks(fx), 50), "sim")
 
 
+@query("ret3_vector_topk_cells", f"select query_id, chunk_id, round(sim, 6) as sim, rank from ({_vec(_ALL_C, _ALL_Q, k=10)})")
+def _(fx):
+    """The same search by cells around pivots, of which those that cannot hold a hit are left out."""
+    return rounded(ve.vector_topk(_queries(fx), _chunks(fx), 10, cells=16), "sim")
+
+
 @query("ret3_vector_topk_scoped", f"select query_id, chunk_id, round(sim, 6) as sim, rank from ({_vec(_ALL_C, _ALL_Q, 'user_id', 5)})")
 def _(fx):
     return rounded(ve.vector_topk(_queries(fx), _chunks(fx), 5, keys=["user_id"]), "sim")
@@ -240,6 +246,30 @@ def _(fx):
     return rounded(whole_search(fx, cascade=True), "score", "rrf", "bm25", "sim")
 
 
+def _scoped(where: str) -> str:
+    chunks = f"(select * from {{v_search_chunk}} where {where})"
+    fused = _fused("(" + _bm25(chunks, "{v_question}") + ")", "(" + _vec(chunks, "{v_question}") + ")")
+    return f"select {_ROUND} from (" + _hybrid(f"({fused})", chunks, "{v_question}", 5) + ")"
+
+
+def _search_in(fx, **scope):
+    chunks = se.visible_chunks(fx.v_chunk_row, se.scope(fx.v_user_file, **scope))
+    found = se.hybrid_search(fx.v_question.select("query_id", "question", "embedding"), chunks)
+    return rounded(found, "score", "rrf", "bm25", "sim")
+
+
+@query("ret12_hybrid_user", _scoped("owner_type = 'personal' and user_id = 4"))
+def _(fx):
+    """Every question over the files of one user."""
+    return _search_in(fx, user=4)
+
+
+@query("ret12_hybrid_user_directory", _scoped("owner_type = 'personal' and user_id = 4 and dir_id = 3"))
+def _(fx):
+    """Every question over one directory of a user."""
+    return _search_in(fx, user=4, directory=3)
+
+
 @query("ret12_fused_only", """
     select query_id, rank, chunk_id, round(coalesce(bm25, 0), 6) as score, false as reranked, false as rerank_skipped,
            round(rrf, 6) as rrf, round(bm25, 6) as bm25, round(sim, 6) as sim from {o_fused} where rank <= 5""")
