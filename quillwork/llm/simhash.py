@@ -18,7 +18,7 @@ slab, so that one task never holds more than two slabs of a hot bucket.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,8 @@ from .textkit import as_bytes, slices, sql_type, store
 SEED = 42
 FANOUT = 8
 FRONT = 1 << 13
+SLICE_BYTES = 1 << 20
+BIT_ROWS = 1 << 15
 
 
 def shingle_hashes(text: bytes | None, width: int) -> list[int]:
@@ -53,21 +55,23 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     if not len(full):
         return out
     starts = (np.cumsum(counts) - counts)[full]
-    for lo in range(0, len(full), 512):
-        part = full[lo:lo + 512]
+    block = starts // BIT_ROWS
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(full)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        part = full[lo:hi]
         a, b = starts[lo], starts[lo] + counts[part].sum()
         bits = np.unpackbits(hashes[a:b].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        set_ = np.add.reduceat(bits, starts[lo:lo + 512] - a, axis=0, dtype=np.int32)
+        set_ = np.add.reduceat(bits, starts[lo:hi] - a, axis=0, dtype=np.int32)
         out[part] = np.packbits(2 * set_ > counts[part][:, None], axis=1).view(">u8").ravel()
     return out
 
 
 def _fingerprint_task(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE_BYTES):
             hashes = [shingle_hashes(t, width) for t in as_bytes(batch.column(1))]
-            flat = np.array([h for doc in hashes for h in doc], dtype=np.uint64)
-            found = majority(flat, np.array([len(h) for h in hashes], dtype=np.int64))
+            counts = np.array([len(h) for h in hashes], dtype=np.int64)
+            found = majority(np.fromiter(chain.from_iterable(hashes), dtype=np.uint64, count=counts.sum()), counts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
     return run
 

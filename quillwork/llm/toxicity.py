@@ -36,6 +36,7 @@ ROUNDS, GUIDED, STEPS, STEP_WINDOWS = 14, 2, 240, 128
 HELD, MIN_DOCS, CHANCE, FEW = 5, 5, 4.0, 20
 SLOW = np.float32(0.3)  # rate of the embeddings against that of the layers
 CHUNK = 2048
+SLICE_BYTES = 1 << 20  # a word brings some hundred bytes of inputs
 MARKS = b".,;:!?\"'()[]{}"
 
 
@@ -376,7 +377,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def _score_task(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net: Network = shared.value
-        for batch in slices(batches, size=2 << 20):
+        for batch in slices(batches, size=SLICE_BYTES):
             found = net.logits(net.read(as_bytes(batch.column(1))))
             score = sigmoid(np.array([x.max() for x in found], dtype=np.float64))
             place = [int(x.argmax()) * STRIDE for x in found]
@@ -400,7 +401,7 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
 def _filter_task(shared, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net: Network = shared.value
-        for batch in slices(batches, text=text, size=2 << 20):
+        for batch in slices(batches, text=text, size=SLICE_BYTES):
             worst = [x.max() for x in net.logits(net.read(as_bytes(batch.column(text))))]
             yield batch.filter(pa.array([bool(sigmoid(float(x)) < 0.5) for x in worst]))
     return run
