@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,7 +52,26 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-@query("op4_substring")
+@query("op4_substring", """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+') AS w FROM documents
+), k AS (
+  SELECT doc_id, unnest(range(1, len(w) - 48)) AS s,
+         unnest(list_transform(range(1, len(w) - 48), lambda i: sha256(array_to_string(w[i:i + 49], ' ')))) AS h
+  FROM d WHERE len(w) >= 50
+), f AS (
+  SELECT h, min(doc_id) AS source FROM k GROUP BY h
+), g AS (
+  SELECT DISTINCT k.doc_id, s + unnest(range(50)) AS p FROM k JOIN f USING (h) WHERE k.doc_id > f.source
+), v AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d
+), r AS (
+  SELECT v.doc_id, count(g.p) AS n, string_agg(word, ' ' ORDER BY v.p) FILTER (WHERE g.p IS NULL) AS kept
+  FROM v LEFT JOIN g USING (doc_id, p) GROUP BY v.doc_id
+)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(r.n, 0) AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.remove_repeats(table(spark, sf_dir, "documents"), window=50)
     return found.select("doc_id", "n_words", "n_removed",
@@ -146,7 +166,36 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-@query("op10_contamination")
+def _word_list(text: str) -> str:
+    lowered = f"translate(coalesce({text}, ''), '{ascii_uppercase}', '{ascii_lowercase}')"
+    return f"regexp_extract_all({lowered}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query("op10_contamination", f"""
+WITH i AS (
+  SELECT item_id, {_word_list('text')} AS w FROM benchmark
+), b AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n,
+         unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1), lambda k: array_to_string(w[k:k + 12], ' '))) AS h
+  FROM i WHERE len(w) > 0
+), d AS (
+  SELECT doc_id, {_word_list('text')} AS w FROM documents
+), k AS (
+  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS s,
+         unnest(list_transform(range(1, len(w) - n + 2), lambda j: array_to_string(w[j:j + n - 1], ' '))) AS h
+  FROM d JOIN (SELECT DISTINCT n FROM b) l ON len(d.w) >= l.n
+), m AS (
+  SELECT k.doc_id, k.s, k.n, b.item_id FROM k JOIN b ON b.h = k.h AND b.n = k.n
+), p AS (
+  SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, s + unnest(range(n)) AS at_word FROM m) GROUP BY doc_id
+), t AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names
+  FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
+""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13)
     names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
