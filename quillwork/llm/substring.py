@@ -11,9 +11,9 @@ than a shard of it.
 Pass two takes only documents with an anchor estimated in two or more of them and
 groups exactly, by 128-bit hashes. Neighbouring windows under one anchor form a
 stretch, and equal stretches are settled by their smallest document. Only where
-different stretches share an anchor, one document of each is grouped window by
-window. An estimate is never too low, so no repeat is lost. Documents with the
-very words of an earlier one are settled by their digest.
+different stretches share an anchor, all places of each in its smallest document
+are grouped window by window. An estimate is never too low, so no repeat is
+lost. Documents with the very words of an earlier one are settled by their digest.
 """
 
 from __future__ import annotations
@@ -219,13 +219,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hit = store(hit.mapInArrow(_stretch_task(window, gram), f"id {kind}, key bigint, row bigint, packed binary, "
                                f"stretches array<struct<{STRETCH}>>"), "hits")
     stretches = hit.select("id", "row", F.explode("stretches").alias("s")).select("id", "row", "s.*")
-    classes = store(stretches.groupBy("anchor", "s1", "s2").agg(F.min(F.struct("id", "row", "start", "count")).alias("own"),
-                                                                F.max("id").alias("last")), "classes")
-    settled = (stretches.join(classes.filter("own.id < last"), ["anchor", "s1", "s2"]).filter("id > own.id")
-               .select("row", "start", "count"))
-    mixed = classes.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor")
-    asked = (classes.join(mixed, "anchor", "left_semi").groupBy("own.row")
-             .agg(F.collect_list(F.struct("own.start", "own.count")).alias("stretches")))
+    classes = store(stretches.groupBy("anchor", "s1", "s2").agg(F.min("id").alias("first"), F.max("id").alias("last")), "classes")
+    kinds = classes.groupBy("anchor").agg((F.count("*") > 1).alias("mixed"))
+    known = classes.join(kinds, "anchor").filter("first < last OR mixed").drop("last")
+    # the smallest document of a stretch may have it at several places, and each of them is asked
+    placed = store(stretches.join(known, ["anchor", "s1", "s2"]).filter("id > first OR mixed")
+                   .select("row", "start", "count", F.expr("id > first").alias("settled")), "placed")
+    settled = placed.filter("settled").drop("settled")
+    asked = placed.filter("NOT settled").groupBy("row").agg(F.collect_list(F.struct("start", "count")).alias("stretches"))
     windows = store(hit.select("id", "row", "packed").join(asked, "row").select("id", "packed", "stretches", "row")
                     .mapInArrow(_window_task(window), f"id {kind}, row bigint, w1 bigint, w2 bigint, start int"), "windows")
     earliest = (windows.groupBy("w1", "w2").agg(F.min("id").alias("first"), F.max("id").alias("last"))

@@ -196,6 +196,25 @@ def test_substring_matches_brute_force(docs, rows, empty):
     assert substring.remove_repeats(empty).count() == 0
 
 
+def test_substring_takes_every_place_of_a_stretch(spark):
+    """A passage of an earlier document that a later id has several times between the same words, in one text or two."""
+    x, p, y = prose(70, 60), prose(71, 80), prose(72, 60)
+    again = x + p + y + prose(73, 30) + x + p + y
+    rows = [(3, prose(74, 60) + p + prose(75, 60)), (5, again), (6, prose(76, 60) + p + prose(77, 60)), (7, again[:200]),
+            (8, prose(78, 55) + x + p + y), (8, prose(79, 55) + x + p + y), (8, prose(79, 20) + again)]
+    first, want = {}, collections.Counter()
+    for i, w in rows:
+        for k in range(len(w) - 49):
+            first[tuple(w[k:k + 50])] = min(i, first.get(tuple(w[k:k + 50]), i))
+    for i, w in rows:
+        gone = {j for k in range(len(w) - 49) if first[tuple(w[k:k + 50])] < i for j in range(k, k + 50)}
+        kept = None if not gone else " ".join(x for j, x in enumerate(w) if j not in gone)
+        want[(i, len(w), len(gone), kept)] += 1
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string").repartition(3)
+    assert (5, len(again), 160) in {k[:3] for k in want}
+    assert bag(substring.remove_repeats(table), "doc_id", "n_words", "n_removed", "kept") == want
+
+
 def test_rolling_hashes_and_minima():
     values = np.random.default_rng(0).integers(0, 2 ** 63, 500, dtype=np.uint64)
     values[300:350] = values[100:150]
