@@ -86,6 +86,24 @@ def test_stages(spark, folder):
         (r.doc_id, r.start, r.ids_crc32) for r in after.collect())
 
 
+def test_near_dedup_links_at_similarity(spark, folder):
+    """Copies with words replaced, at similarities from 0.6 to 0.98, against all pairs compared in full."""
+    rng, rows = np.random.default_rng(3), []
+    for i in range(60):
+        words = prose(2000 + i, 250)
+        changed = list(words)
+        for at in rng.choice(250, 1 + i % 9, replace=False):
+            changed[at] = f"new{i}x{at}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(changed))]
+    sets = [{tuple(t.split()[k:k + 5]) for k in range(246)} for _, t in rows]
+    same = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    label = classes(sets, same)
+    table_ = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = {r.doc_id for r in corpus_pipeline.one_of_each_group(spark, table_, folder).collect()}
+    assert kept == {rows[k][0] for k in range(len(rows)) if label[k] == k}
+    assert 20 < len(rows) - len(kept) < 60
+
+
 def test_stages_take_empty_tables_and_more_columns(spark, folder):
     docs = table(spark, folder, "documents")
     odd = docs.withColumns({c: F.lit("z") for c in ("fp", "id", "key", "rest", "starts", "component_id", "score", "n_words", "label", "k", "t")})
