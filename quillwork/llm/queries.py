@@ -8,7 +8,8 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, langid, licences, linededup, packing, quality, simhash, substring, toxicity, warc
+from . import (bytebpe, contamination, langid, licences, linededup, packing, quality, simhash, substring, toxicity, variants, warc,
+               whitening)
 from .textkit import new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,3 +203,70 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
                         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
                         contamination.is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+    return found.select("vec_id", "component", "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"), "whitened", "explained",
+                        "identity_error")
+
+
+@query("op12_bytebpe")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = bytebpe.decode(bytebpe.encode(table(spark, sf_dir, "documents")))
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))
+
+
+def _crc_step(byte: str) -> str:
+    """SQL of the table entry of a byte in the reflected polynomial of crc32; entries are linear in the bits of the byte."""
+    terms = []
+    for bit in range(8):
+        entry = 1 << bit
+        for _ in range(8):
+            entry = entry >> 1 ^ (0xEDB88320 if entry & 1 else 0)
+        terms.append(f"(({byte} >> {bit}) & 1) * {entry}")
+    sql = terms[0]
+    for term in terms[1:]:
+        sql = f"xor({sql}, {term})"
+    return sql
+
+
+@query("op13_variants", f"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'),
+                                           '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents
+), c AS (
+  SELECT doc_id, run, count(*) AS k FROM r GROUP BY doc_id, run HAVING length(run) >= 5
+), b AS (
+  SELECT run, k, flatten(list_transform(string_split(doc_id || ':' || run, ''),
+                                        lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [195, unicode(x) - 64] END)) AS bytes FROM c
+), h AS (
+  SELECT run, k, xor(list_reduce(list_transform([4294967295] || bytes, lambda x: x::BIGINT),
+                                 lambda s, x: xor(s >> 8, {_crc_step('(xor(s, x) & 255)')})), 4294967295) AS crc FROM b
+), m AS (
+  SELECT CASE WHEN crc % 97 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, k FROM h
+), v AS MATERIALIZED (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM m WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3
+), p AS MATERIALIZED (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)
+), e AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM p a JOIN p b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT p.word, p.n, v.word, v.n FROM p JOIN v ON v.word = p.rest
+  UNION SELECT v.word, v.n, p.word, p.n FROM p JOIN v ON v.word = p.rest
+), g AS (
+  SELECT word, n, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS best, max(other_n) AS best_n FROM e GROUP BY word, n
+), f AS MATERIALIZED (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * v.n THEN best END AS form,
+         CASE WHEN best_n >= 2 * v.n THEN best_n END AS form_n
+  FROM v LEFT JOIN g USING (word)
+), w AS (
+  SELECT word, word AS root, 0 AS step FROM f
+  UNION ALL SELECT w.word, f.form, step + 1 FROM w JOIN f ON f.word = w.root WHERE f.form IS NOT NULL
+), z AS (
+  SELECT word, arg_max(root, step) AS root FROM w GROUP BY word
+)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN z USING (word)
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(table(spark, sf_dir, "documents"), shortest=5, least=3, ratio=2, every=97)
