@@ -237,3 +237,23 @@ def test_index_ranges_agree_in_both_orders():
         assert size[0] == len(places)
         assert sorted(index.ahead.suffixes[low[0]:low[0] + size[0]].tolist()) == places
         assert sorted((len(text) - index.back.suffixes[other[0]:other[0] + size[0]] - len(match)).tolist()) == places
+
+
+# --- packing: blocks of words ------------------------------------------------
+
+def test_long_texts_are_tokenized_in_parts(spark, monkeypatch):
+    from quillwork.llm import packing
+    text = "\n".join(f"word{i} and, more. Ünï {i * i}" for i in range(900)) + "x" * 300
+    assert " ".join(packing.parts_of(text, 50)).split() == text.split() and len(packing.parts_of(text, 50)) > 100
+    monkeypatch.setattr(packing, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(packing, "OUT_IDS", 700)
+    batch = spark.createDataFrame([(1, text), (2, None), (3, "short"), (4, text)], "doc_id bigint, text string").toArrow().to_batches()
+    got = collections.defaultdict(list)
+    for out in packing._task(packing.vocabulary_path(), 512, 1)(iter(batch)):
+        for r in out.to_pylist():
+            got[r["id"]].append((r["start"], r["length"], np.frombuffer(r["ids"], "<u4").tolist(), r["tokens"]))
+    tokenizer = packing.WordCache(packing.vocabulary_path()).tokenizer
+    for i, t in ((1, text), (2, ""), (3, "short"), (4, text)):
+        ids = tokenizer.encode(t, add_special_tokens=False).ids + [1]
+        assert [x for *_, part, _ in got[i] for x in part] == ids and {n for *_, n in got[i]} == {len(ids)}
+        assert [(s, n) for s, n, *_ in got[i]] == packing.pieces(len(ids), 512)
