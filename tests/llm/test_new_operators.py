@@ -257,3 +257,51 @@ def test_long_texts_are_tokenized_in_parts(spark, monkeypatch):
         ids = tokenizer.encode(t, add_special_tokens=False).ids + [1]
         assert [x for *_, part, _ in got[i] for x in part] == ids and {n for *_, n in got[i]} == {len(ids)}
         assert [(s, n) for s, n, *_ in got[i]] == packing.pieces(len(ids), 512)
+
+
+# --- near duplicates: drifting copies ----------------------------------------
+
+def drifting(members, words=120, edits=7, seed=11):
+    """Copies of copies, each with some words replaced, so that most pairs of the group are far apart."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(5000)}" for _ in range(words)]
+    out = [base]
+    while len(out) < members:
+        copy = list(out[rng.randrange(len(out))] if rng.random() < 0.5 else base)
+        for _ in range(rng.randint(1, edits)):
+            copy[rng.randrange(words)] = f"n{rng.randrange(10 ** 6)}"
+        out.append(copy)
+    return [" ".join(w) for w in out]
+
+
+def jaccard_classes(texts, least=0.8):
+    sets = [{tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    label = list(range(len(texts)))
+
+    def root(i):
+        while label[i] != i:
+            label[i] = label[label[i]]
+            i = label[i]
+        return i
+
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= least * (len(sets[a]) + len(sets[b]) - both):
+                x, y = root(a), root(b)
+                label[max(x, y)] = min(x, y)
+    return [root(i) for i in range(len(texts))]
+
+
+def test_drifting_copies_keep_every_link(spark, monkeypatch):
+    from quillwork.llm import jaccard
+    asked = []
+    plain_confirmed = jaccard.confirmed
+    monkeypatch.setattr(jaccard, "confirmed", lambda pairs, sets, least: asked.append(pairs.count()) or plain_confirmed(pairs, sets, least))
+    texts = drifting(1000) + drifting(60, 40, 4, 5) + [" ".join(f"w{random.Random(i).randrange(60)}" for _ in range(40)) for i in range(50)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(2000, texts[3]), (None, texts[4]), (2001, None), (2002, " \n "), (2002, " \n ")]
+    docs = spark.createDataFrame([(i, t, "g", 1.0) for i, t in rows], "doc_id bigint, text string, `group` string, f double").repartition(4)
+    got = collections.Counter(map(tuple, jaccard.near_duplicates(docs).collect()))
+    want = jaccard_classes(texts)
+    assert got == collections.Counter([*enumerate(want), (2000, want[3]), (None, want[4]), (2001, 2001), (2002, 2001), (2002, 2001)])
+    assert sum(asked) < 25 * len(texts), asked
