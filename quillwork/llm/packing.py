@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .textkit import slices, sql_type
 
 END_ID = 1
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 BLOCK_BYTES = 8 << 20
 OUT_IDS = 4 << 20
 BREAK = re.compile("[ \n]")

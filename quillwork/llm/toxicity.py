@@ -15,6 +15,7 @@ The sample is bounded; every window of every document is scored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,6 +32,7 @@ GRAMS, HEADS = (3, 4, 5), (3, 4, 5, 6, 7)
 DIM, HIDDEN, ATTENTION = 8, 8, 8
 TABLES = ("word", "gram", "head")
 SAMPLE_ROWS = 2000
+TEXT_BYTES = 1 << 16
 ROUNDS, GUIDED, STEPS, STEP_WINDOWS = 14, 2, 240, 128
 HELD, MIN_DOCS, CHANCE, FEW = 5, 5, 4.0, 20
 SLOW = np.float32(0.3)  # rate of the embeddings against that of the layers
@@ -354,23 +356,42 @@ def cut_point(scores: np.ndarray, labels: np.ndarray, prior: float) -> tuple[flo
     return float(wrong.min()), float(low + high) / 2
 
 
+def _train_task(prior: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels = [], []
+        for batch in batches:
+            texts += as_bytes(batch.column(0))
+            labels += batch.column(1).to_pylist()
+        net = train_network(texts, np.array(labels, dtype=np.int64), prior)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          sample_rows: int = SAMPLE_ROWS) -> Network:
+          sample_rows: int = SAMPLE_ROWS, text_bytes: int = TEXT_BYTES) -> Network:
     """Fit on about ``sample_rows`` labelled documents, half of them toxic if there are as many.
 
-    They are chosen by a hash of the id. ``labels`` has one row per id; other rows for the same id must agree.
+    They are chosen by a hash of the id, one text of each (ties of ids: that of least hash), none of more than
+    ``text_bytes``; so the sample has at most ``sample_rows * text_bytes`` bytes, and one task fits on it. Only the
+    network comes to the driver. ``labels`` has one row per id; other rows for the same id must agree.
     """
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("k")).agg(
         F.max(label_col).cast("int").alias("label"))
     sizes = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     rate = lambda label: min(1.0, sample_rows / 2 / max(1, sizes.get(label, 0)))
-    chosen = known.filter(F.pmod(F.xxhash64("k", F.lit(5)), F.lit(1 << 20)) < F.when(F.col("label") == 1, rate(1)).otherwise(rate(0)) * (1 << 20))
-    picked = chosen.hint("broadcast")  # bounded by sample_rows
-    rows = (docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(picked, "k")
-            .select("k", "t", "label").toPandas().sort_values(["k", "t"], kind="stable"))
+    turn = F.pmod(F.xxhash64("k", F.lit(5)), F.lit(1 << 20))
+    chosen = (known.filter(turn < F.when(F.col("label") == 1, rate(1)).otherwise(rate(0)) * (1 << 20))
+              .orderBy(turn, "k").limit(sample_rows + sample_rows // 4))
     total = sum(sizes.values())
-    return train_network([None if t is None else t.encode() for t in rows["t"]], rows["label"].to_numpy().astype(np.int64),
-                         sizes.get(1, 0) / total if total else 0.0)
+    prior = sizes.get(1, 0) / total if total else 0.0
+    texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).filter(
+        F.coalesce(F.octet_length("t"), F.lit(0)) <= text_bytes)
+    rows = (texts.join(chosen.hint("broadcast"), "k")  # bounded by sample_rows
+            .groupBy("k", "label").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("c"))
+            .select("k", F.col("c.t").alias("t"), "label"))
+    found = (rows.repartition(1).sortWithinPartitions("k", "t").select("t", "label")
+             .mapInArrow(_train_task(prior), "net binary").collect())
+    return pickle.loads(found[0]["net"]) if found else train_network([], np.zeros(0, dtype=np.int64), prior)
 
 
 def _score_task(shared):

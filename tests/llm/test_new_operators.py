@@ -305,3 +305,20 @@ def test_drifting_copies_keep_every_link(spark, monkeypatch):
     want = jaccard_classes(texts)
     assert got == collections.Counter([*enumerate(want), (2000, want[3]), (None, want[4]), (2001, 2001), (2002, 2001), (2002, 2001)])
     assert sum(asked) < 25 * len(texts), asked
+
+
+# --- bounded samples ---------------------------------------------------------
+
+def test_a_repeated_id_is_one_row_of_the_sample(spark, monkeypatch):
+    from quillwork.llm import langid, toxicity
+    rows = [(7, f"same id {i} text")  for i in range(3000)] + [(100 + i, f"alpha beta gamma {i}") for i in range(3000)]
+    docs = spark.createDataFrame([(i, t, "xx" if i % 2 else "yy") for i, t in rows], "doc_id bigint, text string, lang string").repartition(4)
+    seen = []
+    plain_fit = langid.fit
+    monkeypatch.setattr(langid, "fit", lambda bits, labels: seen.append(len(labels)) or plain_fit(bits, labels))
+    langid.train(docs, sample_rows=200)
+    assert 0 < seen[0] <= 250
+    labels = spark.createDataFrame([(7, 1)] + [(100 + i, i % 2) for i in range(3000)], "doc_id bigint, toxic int")
+    net = toxicity.train(docs.withColumn("text", F.when(F.col("doc_id") == 101, F.repeat("text", 20000)).otherwise(F.col("text"))),
+                         labels, sample_rows=100)
+    assert len(net.words) < 200
