@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import postings as po
 from ..operators import search as se
 from ..operators import vectors as ve
 from .inputs import BOTH, SPLIT
@@ -193,6 +194,43 @@ def _(fx):
     return rounded(se.bm25_topk(fx.v_question, visible(fx).filter("owner_type = 'org'"), keys=["org_id"]), "bm25")
 
 
+_INDEXES: dict[tuple[str, str, str], po.Index] = {}
+
+
+def stored(fx, name: str, build) -> po.Index:
+    """The index of that name over the tables of ``fx``, built on first use and kept for the session."""
+    key = (fx.spark.sparkContext.applicationId, fx.sf_dir, name)
+    if key not in _INDEXES:
+        _INDEXES[key] = build()
+    return _INDEXES[key]
+
+
+def visible_index(fx) -> po.Index:
+    return stored(fx, "visible", lambda: po.build_index(visible(fx)))
+
+
+@query("ret6_index_terms", f"""
+    with t as (select chunk_id, unnest(regexp_extract_all(lower(trim(concat_ws(' ', heading_path, content))), '{_WORDS}')) as term from {{v_search_chunk}})
+    select term, count(distinct chunk_id) as df, count(*) as occurrences, min(chunk_id) as first_chunk from t group by term""")
+def _(fx):
+    """What the stored index holds of each term, read back from its blocks."""
+    blocks = po.build_index(visible(fx)).read(fx.spark, "postings").select("term", F.inline("entries"))
+    return blocks.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"), F.min("chunk_id").alias("first_chunk"))
+
+
+@query("ret6_index_search", "select query_id, chunk_id, rank, round(bm25, 6) as bm25 from {o_bm25}")
+def _(fx):
+    """Exact top 50 from stored postings; no text of a chunk is read."""
+    return rounded(po.search_index(fx.v_question, visible_index(fx)), "bm25")
+
+
+@query("ret6_index_search_org", "select query_id, chunk_id, rank, round(bm25, 6) as bm25 from ("
+       + _bm25("(select * from {v_search_chunk} where owner_type = 'org')", "{v_question}", "org_id") + ")")
+def _(fx):
+    index = stored(fx, "orgs", lambda: po.build_index(visible(fx).filter("owner_type = 'org'"), keys=["org_id"]))
+    return rounded(po.search_index(fx.v_question, index), "bm25")
+
+
 @query("ret9_content_terms", """
     select query_id, array_to_string(list_sort(list_distinct(regexp_extract_all(question, '[A-Za-z0-9_]{2,}'))), ' ') as terms from {v_question}""")
 def _(fx):
@@ -238,7 +276,9 @@ def _(fx):
 
 @query("ret12_hybrid_search", f"select {_ROUND} from {{o_hybrid}}")
 def _(fx):
-    return rounded(whole_search(fx), "score", "rrf", "bm25", "sim")
+    questions = fx.v_question.select("query_id", "question", "embedding")
+    fused = se.rrf(ve.vector_topk(questions, visible(fx), se.CHANNEL_TOP), po.search_index(questions, visible_index(fx)))
+    return rounded(whole_search(fx, fused=fused), "score", "rrf", "bm25", "sim")
 
 
 @query("ret12_hybrid_cascade", f"select {_ROUND} from {{o_cascade}}")
@@ -359,7 +399,8 @@ def _(fx):
     """Keyword search over all documents, judged by the documents that hold the passage."""
     chunks = fx.documents.select(F.col("doc_id").alias("chunk_id"), F.lit("").alias("heading_path"), F.col("text").alias("content"))
     questions = fx.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    hits = se.bm25_topk(questions, chunks).select("query_id", F.col("chunk_id").alias("expect_doc"), "rank")
+    index = stored(fx, "documents", lambda: po.build_index(chunks))
+    hits = po.search_index(questions, index).select("query_id", F.col("chunk_id").alias("expect_doc"), "rank")
     golden = fx.v_golden.select(F.col("question_id").alias("query_id"), "expect_doc").filter("expect_doc is not null").distinct()
     judged = golden.join(hits, ["query_id", "expect_doc"], "left").groupBy("query_id").agg(
         F.count(F.lit(1)).alias("expected"), F.bool_or(F.coalesce(F.col("rank") <= 5, F.lit(False))).alias("hit"), F.min("rank").alias("first_rank"))
