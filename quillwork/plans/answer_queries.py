@@ -55,7 +55,7 @@ def _(fx):
     return an.pack_history(fx.v_qa_log, "session_id", "id", 200)
 
 
-_QUERIES = """select doc_id, concat(case doc_id % 4 when 0 then '　 ' else '' end, substring(text, 1, 80), case doc_id % 5 when 0 then '？！' when 1 then '...'
+_QUERIES = """select doc_id, concat(case doc_id % 4 when 0 then '　 ' else '' end, text, case doc_id % 5 when 0 then '？！' when 1 then '...'
     when 2 then '（x） “q”。' when 3 then ' ,　y' else '' end) as query from {documents}"""
 _NORMAL = ("regexp_replace(trim(regexp_replace(translate(query, '" + FULL_WIDTH + "', '" + HALF_WIDTH.replace("'", "''") + "'), '\\s+', ' ', 'g')), '[。！？?!.]+$', '')")
 
@@ -65,7 +65,10 @@ def _(fx):
     return an.with_query_key(fx.sql(_QUERIES)).select("doc_id", "normal", "query_hash")
 
 
-_ROUTED = "select doc_id, concat(substring(text, 1, cast(doc_id % 60 as int)), case doc_id % 7 when 0 then '对比' when 1 then '哪些文档' else '' end) as query from {documents}"
+# whole texts, and short questions as further rows
+_ROUTED = """
+    select doc_id, concat(text, case doc_id % 7 when 0 then '对比' when 1 then '哪些文档' else '' end) as query from {documents}
+    union all select -1 - doc_id as doc_id, concat(source, ' ', lang, case doc_id % 7 when 0 then '对比' when 1 then '哪些文档' else '' end) as query from {documents}"""
 
 
 @query("ans5_route", "select doc_id, length(query) >= 40 or " + " or ".join(f"contains(query, '{w}')" for w in ROUTE_KEYWORDS)
@@ -289,7 +292,7 @@ def _(fx):
 
 
 _ITEMS = """select conv_id as extract_id, conv_id % 23 as user_id, case when turn % 2 = 0 then 'focus' else 'open_question' end as mem_type, turn as pos,
-    case when turn % 5 = 4 then '  ' when turn % 3 = 0 then concat(' topic ', cast(conv_id % 9 as varchar(20))) else substring(text, 1, 40) end as content from {conversations}"""
+    case when turn % 5 = 4 then '  ' when turn % 3 = 0 then concat(' topic ', cast(conv_id % 9 as varchar(20))) else text end as content from {conversations}"""
 _MEM = "select distinct user_id, 'focus' as mem_type, concat('topic ', cast(user_id % 5 as varchar(20))) as content from {v_cache}"
 
 

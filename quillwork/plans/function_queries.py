@@ -70,10 +70,11 @@ class SharedWords:
 
 @query("udf3_pair_scorer", """
     select d.doc_id, b.item_id, cast(len(list_intersect(string_split(b.text, ' '), string_split(d.text, ' '))) as double) as score
-    from {documents} d join {benchmark} b on b.item_id = d.doc_id % 40""")
+    from {documents} d join {benchmark} b on b.item_id = d.doc_id % (select max(item_id) + 1 from {benchmark})""")
 def _(fx):
-    pairs = fx.documents.alias("d").join(fx.benchmark.alias("b"), F.expr("b.item_id = d.doc_id % 40"))
-    return pairs.select("d.doc_id", "b.item_id", pair_scorer(SharedWords)(F.col("b.text"), F.col("d.text")).alias("score"))
+    pairs = fx.sql("""select d.doc_id, b.item_id, d.text as passage, b.text as question from {documents} d
+                      join {benchmark} b on b.item_id = d.doc_id % (select max(item_id) + 1 from {benchmark})""")
+    return pairs.select("doc_id", "item_id", pair_scorer(SharedWords)(F.col("question"), F.col("passage")).alias("score"))
 
 
 @query("udf4_rank_aggregates", """

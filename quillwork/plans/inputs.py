@@ -49,7 +49,7 @@ BOTH: dict[str, str] = {
                case doc_id % 5 when 0 then 'pending' when 1 then 'parsing' when 2 then 'success'
                                when 3 then 'partial' else 'failed' end as status,
                doc_id % 4 as attempt, {BASE_S} + doc_id * 60 as updated_s
-        from {{documents}} where n_chars >= 120""",
+        from {{documents}}""",
     "v_issue": """
         select doc_id * 10 + b as id, doc_id as file_id, doc_id % 9 as page_no, b as block_order, 'image' as block_type,
                case (doc_id + b) % 5 when 0 then 'pending' when 1 then 'retrying' when 2 then 'resolved'

@@ -63,11 +63,11 @@ def _(fx):
     select cast(item_id as varchar) as id, text as question, case item_id % 4 when 0 then 'factual' else 'table' end as dimension, item_id % 3 = 0 as in_regression
     from {benchmark}""")
 def _(fx):
-    """Question sets written as JSON files, wrapped ones and bare arrays, and read back."""
+    """Sets of eight questions written as JSON files, wrapped ones and bare arrays, and read back."""
     root = new_root(fx, "questions")
     body = "struct(cast(item_id as string) as id, text as question, if(item_id % 4 = 0, 'factual', 'table') as dimension, item_id % 3 = 0 as in_regression)"
-    sets = fx.benchmark.groupBy((F.col("item_id") % 6).alias("part")).agg(F.collect_list(F.expr(body)).alias("questions"))
-    text = F.when(F.col("part") < 3, F.to_json(F.struct("questions"))).otherwise(F.to_json("questions"))
+    sets = fx.benchmark.groupBy(F.expr("item_id div 8").alias("part")).agg(F.collect_list(F.expr(body)).alias("questions"))
+    text = F.when(F.col("part") % 2 == 0, F.to_json(F.struct("questions"))).otherwise(F.to_json("questions"))
     sets.select("part", text.alias("value")).write.partitionBy("part").text(root)
     return src.read_questions(fx.spark, f"{root}/part=*").select("id", "question", "dimension", "in_regression")
 

@@ -276,6 +276,12 @@ def _(fx):
 
 @query("ret12_hybrid_search", f"select {_ROUND} from {{o_hybrid}}")
 def _(fx):
+    return rounded(whole_search(fx), "score", "rrf", "bm25", "sim")
+
+
+@query("ret12_hybrid_indexed", f"select {_ROUND} from {{o_hybrid}}")
+def _(fx):
+    """The whole search with keyword hits from the stored index."""
     questions = fx.v_question.select("query_id", "question", "embedding")
     fused = se.rrf(ve.vector_topk(questions, visible(fx), se.CHANNEL_TOP), po.search_index(questions, visible_index(fx)))
     return rounded(whole_search(fx, fused=fused), "score", "rrf", "bm25", "sim")
@@ -286,28 +292,40 @@ def _(fx):
     return rounded(whole_search(fx, cascade=True), "score", "rrf", "bm25", "sim")
 
 
-def _scoped(where: str) -> str:
-    chunks = f"(select * from {{v_search_chunk}} where {where})"
-    fused = _fused("(" + _bm25(chunks, "{v_question}") + ")", "(" + _vec(chunks, "{v_question}") + ")")
-    return f"select {_ROUND} from (" + _hybrid(f"({fused})", chunks, "{v_question}", 5) + ")"
+# a user and a directory per question; a place is both
+BOTH["v_owner_question"] = """
+    select query_id, question, embedding, concat('u', cast(query_id % 23 as varchar(20))) as owner,
+           concat('u', cast(query_id % 23 as varchar(20)), '/', cast(query_id % 2 * 3 as varchar(20))) as place from {v_question}"""
+BOTH["v_owner_chunk"] = """
+    select *, concat(owner, '/', cast(dir_id as varchar(20))) as place from (
+      select c.*, concat(case when owner_type = 'org' then 'o' else 'u' end, cast(coalesce(org_id, user_id) as varchar(20))) as owner from {v_search_chunk} c) o"""
+
+
+def _scoped(key: str) -> str:
+    chunks, asked = "{v_owner_chunk}", "{v_owner_question}"
+    if key == "place":
+        chunks = "(select * from {v_owner_chunk} where dir_id is not null)"
+    fused = _fused("(" + _bm25(chunks, asked, key) + ")", "(" + _vec(chunks, asked, key) + ")")
+    return f"select {_ROUND} from (" + _hybrid(f"({fused})", chunks, asked, 5) + ")"
 
 
-def _search_in(fx, **scope):
-    chunks = se.visible_chunks(fx.v_chunk_row, se.scope(fx.v_user_file, **scope))
-    found = se.hybrid_search(fx.v_question.select("query_id", "question", "embedding"), chunks)
+def _search_in(fx, *keys: str):
+    files = se.with_owner(fx.v_user_file).filter(" and ".join(f"{k} is not null" for k in keys))
+    asked = fx.v_owner_question.selectExpr("query_id", "question", "embedding", "owner", "query_id % 2 * 3 as dir_id")
+    found = se.hybrid_search(asked.select("query_id", "question", "embedding", *keys), se.visible_chunks(fx.v_chunk_row, files), keys=list(keys))
     return rounded(found, "score", "rrf", "bm25", "sim")
 
 
-@query("ret12_hybrid_user", _scoped("owner_type = 'personal' and user_id = 4"))
+@query("ret12_hybrid_user", _scoped("owner"))
 def _(fx):
-    """Every question over the files of one user."""
-    return _search_in(fx, user=4)
+    """Every question over the files of its own user."""
+    return _search_in(fx, "owner")
 
 
-@query("ret12_hybrid_user_directory", _scoped("owner_type = 'personal' and user_id = 4 and dir_id = 3"))
+@query("ret12_hybrid_user_directory", _scoped("place"))
 def _(fx):
-    """Every question over one directory of a user."""
-    return _search_in(fx, user=4, directory=3)
+    """Every question over one directory of its own user."""
+    return _search_in(fx, "owner", "dir_id")
 
 
 @query("ret12_fused_only", """
@@ -399,8 +417,7 @@ def _(fx):
     """Keyword search over all documents, judged by the documents that hold the passage."""
     chunks = fx.documents.select(F.col("doc_id").alias("chunk_id"), F.lit("").alias("heading_path"), F.col("text").alias("content"))
     questions = fx.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    index = stored(fx, "documents", lambda: po.build_index(chunks))
-    hits = po.search_index(questions, index).select("query_id", F.col("chunk_id").alias("expect_doc"), "rank")
+    hits = se.bm25_topk(questions, chunks).select("query_id", F.col("chunk_id").alias("expect_doc"), "rank")
     golden = fx.v_golden.select(F.col("question_id").alias("query_id"), "expect_doc").filter("expect_doc is not null").distinct()
     judged = golden.join(hits, ["query_id", "expect_doc"], "left").groupBy("query_id").agg(
         F.count(F.lit(1)).alias("expected"), F.bool_or(F.coalesce(F.col("rank") <= 5, F.lit(False))).alias("hit"), F.min("rank").alias("first_rank"))
