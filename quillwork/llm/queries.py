@@ -148,13 +148,16 @@ WITH l AS (
          list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS lines
   FROM documents
 ), w AS (
-  SELECT doc_id, unnest(range(1, len(lines) - 1)) AS pos, lines FROM l
+  SELECT doc_id, lines, list_transform(lines, lambda x: len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+'))) AS n FROM l
+), p AS (
+  SELECT doc_id, unnest(range(1, len(lines) + 1)) AS pos, lines, n FROM w
 ), k AS (
-  SELECT doc_id, pos, [lines[pos], lines[pos + 1], lines[pos + 2]] AS run FROM w
+  SELECT doc_id, pos, size, lines[pos:pos + size - 1] AS run FROM p, (VALUES (1), (2), (3)) s(size)
+  WHERE pos + size - 1 <= len(lines) AND (size = 3 OR list_sum(n[pos:pos + size - 1]) >= 50)
 ), first AS (
   SELECT run, min({'d': doc_id, 'a': pos}) AS source FROM k GROUP BY run HAVING count(*) > 1
 ), gone AS (
-  SELECT k.doc_id, list_distinct(flatten(list([pos, pos + 1, pos + 2]))) AS places
+  SELECT k.doc_id, list_distinct(flatten(list(range(pos, pos + size)))) AS places
   FROM k JOIN first USING (run) WHERE {'d': k.doc_id, 'a': k.pos} > first.source GROUP BY k.doc_id
 )
 SELECT l.doc_id, len(l.lines) AS n_lines, coalesce(len(places), 0) AS n_removed,

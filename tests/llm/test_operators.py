@@ -349,33 +349,57 @@ def test_toxicity_learns_and_handles_edges(spark, empty):
     assert all(r.score < 0.5 for r in toxicity.score(table, unlabelled).collect())
 
 
+LONG, LONGER = " ".join(prose(70, 60)), " ".join(prose(71, 200))
 LINES = [(0, None), (1, ""), (2, "a\nb\nc\nd"), (3, "x\na\nb\n c \ny"), (4, "b\nc\nd\ne"), (5, "a\nb"), (6, "r\n" * 9), (7, "q\na\nb\nc\nd\nz\na\nb\nc"),
-         (8, "a\nb\nc\nd"), (8, "a\nb\nc\nd"), (9, "\n\n\n"), (None, "a\nb\nc"), (10, "\n".join(str(i) for i in range(500)) + "\nb\nc\nd")]
+         (8, "a\nb\nc\nd"), (8, "a\nb\nc\nd"), (9, "\n\n\n"), (None, "a\nb\nc"), (10, "\n".join(str(i) for i in range(500)) + "\nb\nc\nd"),
+         (11, LONGER), (12, "top\n" + LONGER + "\nend"), (13, LONG + "\nshort\nown"), (14, "w\n" + LONG + "\nshort\nother\n" + LONG), (15, LONGER + "\nend"),
+         (16, "one two three\n" + LONG[:130]), (17, "p\none two three\n" + LONG[:130] + "\nq"), (18, LONG[:130] + "\nsix"), (None, LONG)]
 
 
-def test_repeated_lines_match_brute_force(spark, empty):
-    table = spark.createDataFrame([(i, t, "e", len(t or "")) for i, t in LINES], "doc_id bigint, text string, rest string, n_chars bigint").repartition(3)
+def without_repeats(rows, least_lines, least_words):
+    """Texts, lines and removed lines by trying every run of lines."""
     split = lambda t: [] if t is None else t.split("\n")
-    for gram, spread in ((2, 2), (1, 1), (3, 2), (2, 4)):
-        size, first = gram + spread - 1, {}
-        for i, t in LINES:
-            lines = [x.strip() for x in split(t)]
-            for k in range(len(lines) - size + 1 if i is not None else 0):
-                first[tuple(lines[k:k + size])] = min((i, k), first.get(tuple(lines[k:k + size]), (i, k)))
-        want = collections.Counter()
-        for i, t in LINES:
-            lines, gone = [x.strip() for x in split(t)], set()
-            for k in range(len(lines) - size + 1 if i is not None else 0):
-                if first[tuple(lines[k:k + size])] < (i, k):
-                    gone.update(range(k, k + size))
-            text = None if t is None else "\n".join(x for j, x in enumerate(split(t)) if j not in gone)
-            want[(i, text, len(lines), len(gone))] += 1
-        assert bag(linededup.drop_repeated_lines(table, gram=gram, spread=spread), "doc_id", "text", "n_lines", "n_removed") == want
+    first, out = {}, []
+
+    def runs(i, t):
+        lines = [x.strip() for x in split(t)]
+        for a in range(len(lines) if i is not None else 0):
+            for b in range(a + 1, min(len(lines), a + 6) + 1):
+                if b - a >= least_lines or sum(len(x.split()) for x in lines[a:b]) >= least_words:
+                    yield a, b, tuple(lines[a:b])
+
+    for i, t in rows:
+        for a, _, run in runs(i, t):
+            first[run] = min((i, a), first.get(run, (i, a)))
+    for i, t in rows:
+        gone = {k for a, b, run in runs(i, t) if first[run] < (i, a) for k in range(a, b)}
+        out.append((i, None if t is None else "\n".join(x for k, x in enumerate(split(t)) if k not in gone), len(split(t)), len(gone)))
+    return out
+
+
+def test_repeated_lines_match_brute_force(spark, empty):
+    schema = "doc_id bigint, text string, rest string, n_chars bigint"
+    table = spark.createDataFrame([(i, t, "e", len(t or "")) for i, t in LINES], schema).repartition(3)
+    for least_lines, least_words in ((3, 50), (2, 60), (1, 1000), (4, 5), (5, 10 ** 6)):
+        got = bag(linededup.drop_repeated_lines(table, least_lines=least_lines, least_words=least_words), "doc_id", "text", "n_lines", "n_removed")
+        assert got == collections.Counter(without_repeats(LINES, least_lines, least_words))
+    texts = {r.doc_id: r.text for r in linededup.drop_repeated_lines(table).collect()}
+    assert texts[12] == "top\nend" and texts[14] == "w\nother" and texts[15] == "" and texts[18] == LONG[:130] + "\nsix"
     kept = linededup.rewrite(table)
     assert kept.columns == table.columns and bag(kept, "n_chars") == collections.Counter((len(r.text or ""),) for r in kept.collect())
     assert linededup.drop_repeated_lines(empty).count() == 0
 
 
+def test_repeated_lines_of_random_texts(spark):
+    rng = random.Random(5)
+    pool = ["", " ", "a", "b b", "c c c c", "d " * 9, "e " * 12, "f " * 20]
+    rows = [(rng.randrange(40), "\n".join(rng.choice(pool) + rng.choice(["", "", "", str(k)]) for _ in range(rng.randrange(9)))) for k in range(120)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    for least_lines, least_words in ((3, 10), (4, 18)):
+        got = bag(linededup.drop_repeated_lines(table, least_lines=least_lines, least_words=least_words), "doc_id", "text", "n_lines", "n_removed")
+        assert got == collections.Counter(without_repeats(rows, least_lines, least_words))
+
+
 def test_contamination_matches_brute_force(spark, docs, rows, empty):
     norm = lambda t: [w for w in bytes(b + 32 if 65 <= b <= 90 else b if chr(b).isalnum() and b < 128 or b >= 128 else 32 for b in (t or "").encode()).split()]
     text = dict(rows)

@@ -54,10 +54,12 @@ def test_stages(spark, folder):
     for step in (0, 1):
         for (i, t, *rest, n), count in rows_of(before).items():
             lines, drop = [] if t is None else t.split("\n"), set()
-            for k in range(len(lines) - 2 if i is not None else 0):
-                run = tuple(x.strip() for x in lines[k:k + 3])
-                first[run] = min((i, k), first.get(run, (i, k)))
-                drop |= {k, k + 1, k + 2} if first[run] < (i, k) else set()
+            for k in range(len(lines) if i is not None else 0):
+                for size in (1, 2, 3):
+                    run = tuple(x.strip() for x in lines[k:k + size])
+                    if len(run) == size and (size == 3 or sum(len(x.split()) for x in run) >= 50):
+                        first[run] = min((i, k), first.get(run, (i, k)))
+                        drop |= set(range(k, k + size)) if first[run] < (i, k) else set()
             if step:
                 text = None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in drop)
                 want[(i, text, *rest, len(text) if drop else n)] += count
