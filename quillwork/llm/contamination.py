@@ -21,12 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .textkit import as_bytes, slices, sql_type
 
 WINDOW = 13
 SHARD_BYTES = 8 << 20
 BLOCK_BYTES = 8 << 20
+ID_BYTES = 32
 SAMPLE = 8
 
 _FOLD = bytes(
@@ -207,7 +209,7 @@ def spans(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(start[new].tolist(), stop[last].tolist()))
 
 
-def _task(asked, ids: list, id_type: pa.DataType):
+def _task(asked, ids: list[list], id_type: pa.DataType):
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +225,7 @@ def _task(asked, ids: list, id_type: pa.DataType):
                 first = np.concatenate([[s for s, _ in known], word[a:b]]).astype(np.int64)
                 stop = np.concatenate([[e for _, e in known], word[a:b] + block.lengths[window[a:b]]]).astype(np.int64)
                 found[d] = [{"start": s, "stop": e} for s, e in spans(first, stop)]
-                named = {ids[i] for w in np.unique(window[a:b]).tolist() for i in block.items[w]} - {None}
+                named = {name for w in np.unique(window[a:b]).tolist() for i in block.items[w] for name in ids[i]}
                 items[d] = sorted(named | set(items[d]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(found, span_type),
@@ -232,21 +234,24 @@ def _task(asked, ids: list, id_type: pa.DataType):
 
 
 def _scan(docs: DataFrame, rest: list[str], benchmark: DataFrame, id_col: str, text_col: str, item_col: str,
-          item_text_col: str, window: int, block_bytes: int) -> DataFrame:
+          item_text_col: str, window: int, block_bytes: int, named: bool = True) -> DataFrame:
+    """Without ``named``, no item ids are fetched and ``items`` stays empty."""
     spark = docs.sparkSession
-    asked = benchmark.select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text"))
-    total = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # equal items are searched once, with their ids beside the text
+    ids = F.collect_set(item_col) if named else F.expr(f"CAST(array() AS array<{sql_type(benchmark, item_col)}>)")
+    asked = benchmark.filter(F.col(item_text_col).isNotNull()).groupBy(F.col(item_text_col).alias("text")).agg(ids.alias("ids"))
+    total = asked.agg(F.sum(F.octet_length("text") + ID_BYTES * F.size("ids"))).first()[0] or 0
     parts = 1 + total // block_bytes
     item_type = sql_type(benchmark, item_col)
     out = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("bigint").alias("n_words"),
         F.expr("CAST(array() AS array<struct<start: bigint, stop: bigint>>)").alias("spans"),
         F.expr(f"CAST(array() AS array<{item_type}>)").alias("items"), *([F.struct(*rest).alias("rest")] if rest else []))
-    kind = pa.int64() if item_type == "bigint" else pa.int32() if item_type == "int" else pa.string()
-    for part in range(parts):  # a block of the stated query set is bounded by block_bytes and its longest item
+    kind = to_arrow_type(benchmark.schema[item_col].dataType)
+    for part in range(parts):  # a block of the stated query set is bounded by block_bytes and its largest item with its ids
         rows = asked.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).collect()
-        block = spark.sparkContext.broadcast(phrases([None if r.text is None else r.text.encode() for r in rows], window))
-        out = out.mapInArrow(_task(block, [r.id for r in rows], kind), out.schema)
+        block = spark.sparkContext.broadcast(phrases([r.text.encode() for r in rows], window))
+        out = out.mapInArrow(_task(block, [r.ids for r in rows], kind), out.schema)
     return out
 
 
@@ -258,7 +263,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     A window is ``window`` consecutive words of an item, or all words of a shorter item. Null and blank texts have no
     words: such documents come back without spans and such items are in nothing. Items that share a window are all
-    named; repeated items count once; an item without id marks words but is not named. Repeated documents each come
+    named; equal items are searched once and each named, repeated rows once; an item without id marks words but is not named. Repeated documents each come
     back. Other columns are not looked at. Empty tables give empty spans, or no rows.
     """
     out = _scan(docs, [], benchmark, id_col, text_col, item_col, item_text_col, window, block_bytes)
@@ -277,6 +282,6 @@ def is_contaminated(n_hit: Column, n_words: Column) -> Column:
 def filter_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that are not contaminated."""
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    out = _scan(docs, rest, benchmark, id_col, text_col, "item_id", "text", WINDOW, BLOCK_BYTES)
+    out = _scan(docs, rest, benchmark, id_col, text_col, "item_id", "text", WINDOW, BLOCK_BYTES, named=False)
     clean = out.filter(~is_contaminated(span_words(), F.col("n_words")))
     return clean.select(F.col("id").alias(id_col), F.col("text").alias(text_col), *([F.col("rest")[c].alias(c) for c in rest])).select(*docs.columns)

@@ -423,6 +423,11 @@ def test_contamination_matches_brute_force(spark, docs, rows, empty):
     for block in (8 << 20, 200):  # one block of phrases and several
         got = contamination.contaminated_spans(docs, bench, block_bytes=block).withColumn("n", F.expr("aggregate(spans, 0L, (s, x) -> s + x.stop - x.start)"))
         assert collections.Counter((r.doc_id, r.n_words, r.n, tuple(r["items"])) for r in got.collect()) == want
+    # many equal items are one phrase with all their ids, of any type
+    many = bench.filter("item_id = 5").crossJoin(spark.range(300).withColumnRenamed("id", "n")).select(
+        F.col("n").cast("decimal(10,1)").alias("item_id"), "text").repartition(5)
+    got = contamination.contaminated_spans(docs, many.union(many), block_bytes=5000).filter("n_hit > 0").collect()
+    assert got and all(list(map(int, r["items"])) == list(range(300)) for r in got)
     assert contamination.contaminated_spans(empty, bench).count() == 0
     assert contamination.contaminated_spans(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
     clean = contamination.filter_clean(docs, bench)
