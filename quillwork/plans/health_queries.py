@@ -9,6 +9,7 @@ from ..operators import evals as ev
 from ..operators import health as he
 from ..operators import search as se
 from ..operators import vectors as ve
+from ..operators.textmatch import contains_join
 from .inputs import BOTH, SPLIT
 from .registry import query
 from .search_queries import rounded, visible, whole_search
@@ -47,6 +48,19 @@ def _(fx):
                        ev.match_any(F.col("content"), F.col("keywords")).alias("any_hit"))
 
 
+@query("evl2_keyword_texts", """
+    select k.word, count(d.doc_id) as n_docs, min(d.doc_id) as first_doc
+    from (select distinct unnest(regexp_extract_all(text, '[^ ]+')) as word from {benchmark}) k
+    left join {documents} d on contains(d.text, k.word) group by k.word""")
+def _(fx):
+    """Every word of the golden questions, as a keyword of whatever length, against all whole texts."""
+    words = fx.benchmark.select(F.explode(F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0))).alias("word")).distinct()
+    pairs = contains_join(words.select(F.col("word").alias("needle_id"), F.col("word").alias("needle")),
+                          fx.documents.selectExpr("doc_id as hay_id", "text as hay"))
+    counted = pairs.groupBy("needle_id").agg(F.count("*").alias("n_docs"), F.min("hay_id").alias("first_doc"))
+    return words.join(counted, words.word == counted.needle_id, "left").select("word", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "first_doc")
+
+
 _SCORED = f"""
     select k.query_id, k.dimension, h.hit_rank, h.hit_rank is not null as recall_hit, coalesce(1.0::double / h.hit_rank, 0) as rr,
            case when len(k.keywords) > 0 then round_even(h.rel::double / h.n, 4) end as context_precision

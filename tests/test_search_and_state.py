@@ -76,6 +76,18 @@ def test_contains_join(spark):
     assert [(r["needle_id"], r["hay_id"]) for r in textmatch.contains_join(needle, hay).collect()] == [(9, 1)]
 
 
+def test_contains_join_takes_needles_of_any_length(spark):
+    rng = random.Random(4)
+    signs = ["a", "b", "?", " ", "\n", "\u4e2d", "\u6587", "\U0001f600", "\U0001f601", "\u00e9"]
+    text = lambda n: "".join(rng.choice(signs) for _ in range(n))
+    hays = [(i, text(rng.randint(0, 60))) for i in range(60)] + [(60, ""), (61, None), (62, "ab" * 50_000 + "end")]
+    needles = [(i, text(rng.randint(1, 6))) for i in range(150)] + [(150, ""), (151, None), (152, "bend"), (153, "a b ? c"), (154, "\u4e2d\u6587"), (155, " ")]
+    needles += [(200 + i, h[5:5 + rng.randint(1, 40)]) for i, h in hays[:60] if len(h) > 6]
+    got = textmatch.contains_join(spark.createDataFrame(needles, "needle_id long, needle string"),
+                                  spark.createDataFrame(hays, "hay_id long, hay string")).collect()
+    assert sorted(map(tuple, got)) == sorted((n, h) for n, a in needles for h, b in hays if a and b is not None and a in b)
+
+
 def test_running_matches_window_with_tiny_blocks(spark):
     from pyspark.sql import Window as W
     rng = random.Random(2)
