@@ -27,7 +27,8 @@ ORG_TOP_MAX = 20
 HIT_CHARS, PREVIEW_CHARS, PREVIEW_CHUNKS, PRIOR_CHARS = 600, 500, 20, 200
 # ------------------------------------------------------------------------------
 MARK = ""                 # the term that stands for a chunk itself
-BROADCAST_ROWS = 500_000  # question words that may be sent to every task
+BROADCAST_BYTES = 64 << 20  # question words that may be sent to every task
+ROW_BYTES = 128  # taken for a row besides its term
 SCORE_DIGITS = 9   # ranks use scores rounded to this, so equal texts tie in every engine
 
 Scorer = Callable[[Column, Column], Column]
@@ -101,9 +102,10 @@ def term_index(chunks: DataFrame, wanted: DataFrame, keys: list[str], tokenizer:
     return cut_lineage(found.groupBy(*keys, "chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def fitting(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a side made of question words only when a count shows that it is small; else leave the join to Spark."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def fitting(df: DataFrame) -> DataFrame:
+    """Broadcast a side made of question words only when its measured bytes are few; else leave the join to Spark."""
+    size = df.agg(F.sum(F.octet_length("term") + ROW_BYTES)).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = CHANNEL_TOP, keys: list[str] | None = None,

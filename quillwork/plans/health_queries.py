@@ -358,6 +358,11 @@ def _(fx):
     return he.report_history(fx.events.selectExpr("event_id as id", "props as summary"), 500)
 
 
+@query("dia6_latest_report", "select event_id as id, props as summary from {events} order by id desc limit 1")
+def _(fx):
+    return he.latest_report(fx.events.selectExpr("event_id as id", "props as summary"))
+
+
 _REQUESTS = "select event_type as type, value * 13.7 as ms, case when event_id % 17 = 0 then 500 else 200 end as code from {events}"
 
 

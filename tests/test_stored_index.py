@@ -57,3 +57,12 @@ def test_empty_index(spark, chunks, questions):
     index = postings.build_index(chunks.limit(0))
     assert postings.search_index(questions, index).count() == 0
     assert postings.search_index(questions.limit(0), postings.build_index(chunks)).count() == 0
+
+
+@pytest.mark.parametrize("keys", [None, ["org_id"]])
+def test_search_is_the_same_with_and_without_broadcast(spark, chunks, questions, keys, monkeypatch):
+    sent = rows(search.bm25_topk(questions, chunks, 7, keys))
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 0)
+    terms = search.query_terms(questions, [])
+    assert search.fitting(terms) is terms and search.fitting(terms.limit(0)) is not terms
+    assert rows(search.bm25_topk(questions, chunks, 7, keys)) == sent
