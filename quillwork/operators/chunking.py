@@ -81,11 +81,14 @@ def line_pieces(text: Column) -> Column:
 
 def table_pieces(text: Column, rows: int = TABLE_ROWS) -> Column:
     """CHK-4: row groups of a Markdown table, each under the header."""
-    lines = split_lines_array(text)
-    head = F.array_join(F.slice(lines, 1, 2), "\n")
-    starts = F.sequence(F.lit(3), F.size(lines), F.lit(rows))
-    groups = F.transform(starts, lambda i: F.concat(head, F.lit("\n"), F.array_join(F.slice(lines, i, F.lit(rows)), "\n")))
-    return F.when(F.size(lines) <= rows + 2, F.array(text)).otherwise(groups)
+    def grouped(lines: Column) -> Column:
+        starts = F.sequence(F.lit(3), F.size(lines), F.lit(rows))
+        groups = _let(F.array_join(F.slice(lines, 1, 2), "\n"), lambda head: F.transform(
+            starts, lambda i: F.concat(head, F.lit("\n"), F.array_join(F.slice(lines, i, F.lit(rows)), "\n"))))
+        return F.when(F.size(lines) <= rows + 2, F.array(text)).otherwise(groups)
+
+    # lines are cut once, not again for each group
+    return _let(split_lines_array(text), grouped)
 
 
 def split_column(df: DataFrame, key: str, pieces: Column) -> DataFrame:
