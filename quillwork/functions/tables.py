@@ -28,9 +28,10 @@ def _long_pieces(t: str) -> str:
 
 def _table_pieces(t: str) -> str:
     lines = f"regexp_replace({t}, r'\\n$', '')"
-    cut = f"split({lines}, r'{LINE_END}')"
-    return f"""CASE WHEN size({cut}) <= {TABLE_ROWS + 2} THEN array({t}) ELSE transform(sequence(3, size({cut}), {TABLE_ROWS}),
-      i -> array_join(slice({cut}, 1, 2), '\\n') || '\\n' || array_join(slice({cut}, i, {TABLE_ROWS}), '\\n')) END"""
+    # lines are cut once, not again for each group
+    return f"""transform(array(split({lines}, r'{LINE_END}')), cut ->
+      CASE WHEN size(cut) <= {TABLE_ROWS + 2} THEN array({t}) ELSE transform(sequence(3, size(cut), {TABLE_ROWS}),
+      i -> array_join(slice(cut, 1, 2), '\\n') || '\\n' || array_join(slice(cut, i, {TABLE_ROWS}), '\\n')) END)[0]"""
 
 
 def register_table_functions(spark: SparkSession) -> None:
