@@ -205,8 +205,12 @@ def _(fx):
 
 _LIVE = ["cast(ts as timestamp) as ts", "user_id", "cast(floor(value * 100) as bigint) as total_ms", "event_id % 9 = 0 as refused",
          "event_id % 4 = 0 as cache_hit", "event_type as route"]
-_HOUR = """select s as start_s, s + 3600 as end_s, count(*) as answers, cast(count_if(event_id % 9 = 0) as bigint) as refused, cast(count_if(event_id % 4 = 0) as bigint) as cache_hits,
-    round(avg(floor(value * 100)), 3) as avg_ms from (select *, cast(floor(epoch_ms(ts) / 3600000) * 3600 as bigint) as s from {events}) group by s"""
+# exact in DuckDB too: its epoch_ms rounds up the last half millisecond of an hour, its round may miss a half
+_START_S = "cast(floor(epoch_us(ts) / 3600000000) * 3600 as bigint)"
+_AVG_MS = ("sign(sum(cast(floor(value * 100) as bigint))) * ((2000 * abs(sum(cast(floor(value * 100) as bigint))) + count(value))"
+           " // (2 * count(value))) / 1000.0::double")
+_HOUR = f"""select s as start_s, s + 3600 as end_s, count(*) as answers, cast(count_if(event_id % 9 = 0) as bigint) as refused, cast(count_if(event_id % 4 = 0) as bigint) as cache_hits,
+    {_AVG_MS} as avg_ms from (select *, {_START_S} as s from {{events}}) group by s"""
 
 
 @query("str10_live_metrics", _HOUR)
@@ -214,11 +218,11 @@ def _(fx):
     return jobs.live_metrics(fx.events.selectExpr(*_LIVE))
 
 
-@query("str10_live_metrics_sliding", """
+@query("str10_live_metrics_sliding", f"""
     select s as start_s, s + 7200 as end_s, count(*) as answers, cast(count_if(event_id % 9 = 0) as bigint) as refused, cast(count_if(event_id % 4 = 0) as bigint) as cache_hits,
-      round(avg(floor(value * 100)), 3) as avg_ms
-    from (select *, cast(floor(epoch_ms(ts) / 3600000) * 3600 as bigint) as s from {events} union all
-          select *, cast(floor(epoch_ms(ts) / 3600000) * 3600 as bigint) - 3600 as s from {events}) group by s""")
+      {_AVG_MS} as avg_ms
+    from (select *, {_START_S} as s from {{events}} union all
+          select *, {_START_S} - 3600 as s from {{events}}) group by s""")
 def _(fx):
     return jobs.live_metrics(fx.events.selectExpr(*_LIVE), "2 hours", "1 hour")
 

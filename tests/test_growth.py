@@ -1,11 +1,29 @@
 """Work that grows no faster than its input: long tables, many keys, repeated reads."""
 
 import time
+from pathlib import Path
 
+import pytest
+from oracle_check import compare, connect
 from pyspark.sql import functions as F
 
 from quillwork.functions.tables import register_table_functions
 from quillwork.operators import chunking
+from quillwork.plans import load_all
+from quillwork.plans.inputs import TABLES
+
+SF = "/root/testdata/sf0.001"
+load_all()
+
+
+def folder_with(tmp_path, **changed) -> str:
+    """The small tables, some of them replaced."""
+    for name in TABLES:
+        if name in changed:
+            changed[name].toPandas().to_parquet(tmp_path / f"{name}.parquet", index=False, coerce_timestamps="us")
+        else:
+            (tmp_path / f"{name}.parquet").symlink_to(Path(SF) / f"{name}.parquet")
+    return str(tmp_path)
 
 
 def test_long_tables_are_cut_in_linear_steps(spark):
@@ -20,3 +38,13 @@ def test_long_tables_are_cut_in_linear_steps(spark):
         got = {r.piece_no: r.piece for r in form.collect()}
         assert len(got) == rows // 10 and got[1].split("\n") == ["| a | b |", "|---|---|", *[f"| {i} | x |" for i in range(11, 21)]]
     assert time.time() - start < 30
+
+
+@pytest.mark.parametrize("name", ["str10_live_metrics", "str10_live_metrics_sliding", "str10_live_metrics_stream"])
+def test_hours_and_halves_are_exact(spark, tmp_path, name):
+    """The last half millisecond of an hour belongs to it, and a mean of 1030.2495 is rounded up."""
+    events = spark.range(2000).selectExpr(
+        "id as event_id", "timestamp'2024-01-01 00:59:59.999700' as ts", "id % 7 as user_id", "'view' as event_type",
+        "if(id < 499, 10.315D, 10.305D) as value", "'p' as props")
+    folder = folder_with(tmp_path, events=events)
+    assert compare(spark, connect(folder), name, folder).startswith("ok")
