@@ -101,7 +101,7 @@ def _(fx):
 @query("str4_token_budget_stream", _STR4_TOKEN_BUDGET)
 def _(fx):
     rows = fast_stream(fx).withColumn("day", F.floor(F.col("ts_ms") / 216000))
-    return run_to_end(fx, fold_stream(rows, fo.token_budget(1500), ["user_id", "day"])).select("id", "user_id", "day", "used_before", "allowed")
+    return run_to_end(fx, fold_stream(rows, fo.token_budget(1500, "day"), ["user_id"])).select("id", "user_id", "day", "used_before", "allowed")
 
 
 _STR5_BREAKER = """

@@ -134,13 +134,25 @@ def turn_trigger(every: int = TURNS) -> Fold:
     return Fold([StructField("turn", LongType()), StructField("due", BooleanType())], step, {"n": 0})
 
 
-def token_budget(limit: int) -> Fold:
-    """STR-4: allowed while the sum of the day before this event is under the limit; keyed by user and day."""
+def token_budget(limit: int, day: str | None = None) -> Fold:
+    """STR-4: allowed while the sum of the day before this event is under the limit; keyed by user and day.
+
+    With ``day``, the column of the day, keyed by user alone: a stream then pays once per user for reading and
+    writing a state, not once per user and day.
+    """
     def step(s: dict, r) -> tuple:
         used = s["used"]
         s["used"] += max(0, r.tokens)
         return (used, used < limit)
-    return Fold([StructField("used_before", LongType()), StructField("allowed", BooleanType())], step, {"used": 0})
+
+    def step_of_day(s: dict, r) -> tuple:
+        name = str(getattr(r, day))
+        used = s["used"].get(name, 0)
+        s["used"][name] = used + max(0, r.tokens)
+        return (used, used < limit)
+
+    out = [StructField("used_before", LongType()), StructField("allowed", BooleanType())]
+    return Fold(out, step_of_day if day else step, {"used": {}} if day else {"used": 0})
 
 
 def semantic_cache(cap: int = SEM_CAP, min_sim: float = SEM_SIM) -> Fold:

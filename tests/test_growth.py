@@ -3,6 +3,7 @@
 import time
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from oracle_check import compare, connect
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from quillwork.functions.tables import register_table_functions
 from quillwork.operators import chunking
 from quillwork.plans import load_all
 from quillwork.plans.inputs import TABLES
+from quillwork.streaming import folds
 
 SF = "/root/testdata/sf0.001"
 load_all()
@@ -48,3 +50,13 @@ def test_hours_and_halves_are_exact(spark, tmp_path, name):
         "if(id < 499, 10.315D, 10.305D) as value", "'p' as props")
     folder = folder_with(tmp_path, events=events)
     assert compare(spark, connect(folder), name, folder).startswith("ok")
+
+
+def test_token_budget_holds_all_days_of_a_user():
+    """One state a user: days have their own sums, and a late event finds that of its day again."""
+    fold = folds.token_budget(10, "day")
+    state = fold.fresh()
+    first = fold.run(state, pd.DataFrame({"id": [1, 2, 3], "day": [5, 5, 6], "tokens": [8, 4, 3]}))
+    late = fold.run(state, pd.DataFrame({"id": [4, 5], "day": [5, 6], "tokens": [1, 1]}))
+    assert [*first.used_before, *late.used_before] == [0, 8, 0, 12, 3]
+    assert [*first.allowed, *late.allowed] == [True, True, True, False, True]
