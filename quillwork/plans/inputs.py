@@ -107,6 +107,10 @@ BOTH: dict[str, str] = {
         from {events}""",
 }
 
+# what search asks of a file: v_user_file without its blob, whose join reads all texts again
+_BLOBLESS = re.sub(r"b\.blob_id, md5\(d\.text\) as content_hash,\s*", "", BOTH["v_user_file"])
+BOTH["v_search_file"] = _BLOBLESS[:_BLOBLESS.index("join (select md5")] + "where d.text is not null"
+
 # name -> (Spark text, DuckDB text)
 SPLIT: dict[str, tuple[str, str]] = {
     "v_doc3": (

@@ -26,7 +26,7 @@ SPLIT["v_subquestion"] = (_SUB % "select item_id, text, sub_no from {benchmark}
 
 
 def visible(fx):
-    return se.visible_chunks(fx.v_chunk_row, fx.v_user_file)
+    return se.visible_chunks(fx.v_chunk_row, fx.v_search_file)
 
 
 # ---------------------------------------------------------------- oracle pieces (DuckDB text)
@@ -310,7 +310,7 @@ def _scoped(key: str) -> str:
 
 
 def _search_in(fx, *keys: str):
-    files = se.with_owner(fx.v_user_file).filter(" and ".join(f"{k} is not null" for k in keys))
+    files = se.with_owner(fx.v_search_file).filter(" and ".join(f"{k} is not null" for k in keys))
     asked = fx.v_owner_question.selectExpr("query_id", "question", "embedding", "owner", "query_id % 2 * 3 as dir_id")
     found = se.hybrid_search(asked.select("query_id", "question", "embedding", *keys), se.visible_chunks(fx.v_chunk_row, files), keys=list(keys))
     return rounded(found, "score", "rrf", "bm25", "sim")
