@@ -12,19 +12,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
+from ..session import cut_lineage
 from .scan import top_per_group
 
-CHUNK_BLOCK = 16384
-QUERY_BLOCK = 4096
-TILE = 1024
-MAX_CELLS, CELL_PER_HIT = 1024, 64
+CHUNK_BLOCK = 131072
+QUERY_BLOCK = 32768
+BLOCK_BYTES = 32 << 20   # of the vectors of a block of chunks in single precision
+QUERY_TILE, TILE = 1024, 4096
+EXACT = 65536            # pairs whose similarity is taken at once in double precision
 SIM_DIGITS = 9     # ranks use similarities rounded to this, so equal vectors tie in every engine
 MARGIN = 1e-6      # slack of the cell bounds against rounding
 
+ARROW_HIT = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("sim", pa.float64())])
 HIT = StructType([StructField("query_id", LongType()), StructField("chunk_id", LongType()), StructField("sim", DoubleType())])
 
 
@@ -33,41 +37,91 @@ def unit_rows(vectors: pd.Series) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
-def best_of_block(queries: pd.DataFrame, chunks: pd.DataFrame, k: int, min_sim: float | None) -> pd.DataFrame:
-    """Top ``k`` chunks of one block for each query of one block, ties by chunk id."""
-    if queries.empty or chunks.empty:
-        return pd.DataFrame({"query_id": [], "chunk_id": [], "sim": []}).astype({"query_id": "int64", "chunk_id": "int64"})
-    chunks = chunks.sort_values("chunk_id")
-    ids, q = chunks["chunk_id"].to_numpy(), unit_rows(queries["embedding"])
-    c = unit_rows(chunks["embedding"])
-    best_sim = np.full((len(q), 0), 0.0)
-    best_id = np.zeros((len(q), 0), dtype=np.int64)
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Unit rows of a list column."""
+    held = vectors.combine_chunks()
+    m = held.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(held), -1)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
+def _cut(rows: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by row and falling similarity; the place of each entry in its row with it, and the k-th similarity of full rows."""
+    order = np.lexsort((-sims, rows))
+    sorted_rows = rows[order]
+    place = np.arange(len(order)) - np.searchsorted(sorted_rows, sorted_rows, side="left")
+    kth = np.flatnonzero(place == k - 1)
+    return order, sorted_rows[kth], sims[order][kth]
+
+
+def _candidates(q: np.ndarray, c: np.ndarray, k: int, least: float, error: float) -> tuple[np.ndarray, np.ndarray]:
+    """``(row of q, row of c)`` of all pairs that may be among the best ``k`` of a row of ``q``.
+
+    Products are taken in single precision, at most ``error`` off; what is that near to the k-th best found so far stays.
+    """
+    floor = np.full(len(q), least - error, dtype=np.float64)
+    odd = np.isnan(q).any() or np.isnan(c).any()
+    rows, cols, sims = (np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.float32))
     for at in range(0, len(c), TILE):
-        sims = np.round(q @ c[at:at + TILE].T, SIM_DIGITS)
-        best_sim = np.hstack([best_sim, sims])
-        best_id = np.hstack([best_id, np.broadcast_to(ids[at:at + TILE], sims.shape)])
-        if best_sim.shape[1] > k:   # columns stay in id order among equals, so a stable sort breaks ties by id
-            order = np.argsort(-best_sim, axis=1, kind="stable")[:, :k]
-            order = np.sort(order, axis=1)
-            best_sim, best_id = np.take_along_axis(best_sim, order, 1), np.take_along_axis(best_id, order, 1)
-    out = pd.DataFrame({"query_id": np.repeat(queries["query_id"].to_numpy(), best_sim.shape[1]),
-                        "chunk_id": best_id.ravel(), "sim": best_sim.ravel()})
-    return out if min_sim is None else out[out["sim"] >= min_sim]
+        product = q @ c[at:at + TILE].T
+        if odd:
+            product[np.isnan(product)] = -2.0
+        if at == 0 and product.shape[1] > k:
+            floor = np.maximum(floor, np.partition(product, -k, axis=1)[:, -k] - 2 * error)
+        r, i = np.divmod(np.flatnonzero(product >= floor.astype(np.float32)[:, None]), product.shape[1])
+        rows, cols, sims = np.concatenate([rows, r]), np.concatenate([cols, i + at]), np.concatenate([sims, product[r, i]])
+        if len(rows) > 4 * k * len(q) or at + TILE >= len(c):
+            _, full, kth = _cut(rows, sims, k)
+            floor[full] = np.maximum(floor[full], kth - 2 * error)
+            near = sims >= floor[rows]
+            rows, cols, sims = rows[near], cols[near], sims[near]
+    return rows, cols
+
+
+def best_of_block(queries: pa.Table, chunks: pa.Table, k: int, min_sim: float | None) -> pa.Table:
+    """Top ``k`` chunks of one block for each query of one block, ties by chunk id."""
+    out: list[pa.Table] = []
+    if queries.num_rows and chunks.num_rows:
+        names, ids = (t.column(c).cast(pa.int64()).to_numpy() for t, c in ((queries, "query_id"), (chunks, "chunk_id")))
+        q, c = _matrix(queries.column("embedding")), _matrix(chunks.column("embedding"))
+        q32, c32 = q.astype(np.float32), c.astype(np.float32)
+        error = (q.shape[1] + 8) * 1.2e-7 + 10.0 ** -SIM_DIGITS
+        for at in range(0, len(q), QUERY_TILE):
+            rows, cols = _candidates(q32[at:at + QUERY_TILE], c32, k, -3.0 if min_sim is None else min_sim, error)
+            sims = np.concatenate([np.round(np.einsum("ij,ij->i", q[at + rows[i:i + EXACT]], c[cols[i:i + EXACT]]), SIM_DIGITS)
+                                   for i in range(0, len(rows), EXACT)] or [np.zeros(0)])
+            order = np.lexsort((ids[cols], -sims, rows))
+            rows, cols, sims = rows[order], cols[order], sims[order]
+            best = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+            if min_sim is not None:
+                best &= sims >= min_sim
+            out.append(pa.table([names[at + rows[best]], ids[cols[best]], sims[best]], ARROW_HIT))
+    return pa.concat_tables(out) if out else ARROW_HIT.empty_table()
+
+
+def _limits(chunks: DataFrame) -> tuple[int, int]:
+    """Rows of a block of queries and of chunks, fewer for long vectors."""
+    first = chunks.select(F.size("embedding")).first()
+    fit = max(TILE, BLOCK_BYTES // (4 * max(1, first[0]))) if first else CHUNK_BLOCK
+    return min(QUERY_BLOCK, max(QUERY_TILE, fit // 4)), min(CHUNK_BLOCK, fit)
 
 
 def _block_join(queries: DataFrame, chunks: DataFrame, keys: list[str], k: int, min_sim: float | None) -> DataFrame:
     """Best ``k`` per query and block over equal ``keys``."""
-    if not keys:   # one group: the number of blocks is a plain number
-        cb, qb = (max(1, -(-df.count() // size)) for df, size in ((chunks, CHUNK_BLOCK), (queries, QUERY_BLOCK)))
+    q_rows, c_rows = _limits(chunks)
+    if not keys:   # one group: the number of blocks is a plain number; blocks are smaller where cores would idle
+        cores = chunks.sparkSession.sparkContext.defaultParallelism
+        n_chunks, n_queries = chunks.count(), queries.count()
+        qb = max(1, -(-n_queries // q_rows), min(cores, n_queries // QUERY_TILE))
+        cb = max(1, -(-n_chunks // c_rows), min(-(-cores // qb), n_chunks // TILE))
         left = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int").alias("_j"),
                               F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("_i"))
         right = chunks.select(*[F.col(c).alias(c) for c in ("chunk_id", "embedding")],
                               F.pmod(F.xxhash64("chunk_id"), F.lit(cb)).cast("int").alias("_i"),
                               F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("_j"))
-        return left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(
+        return left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInArrow(
             lambda q, c: best_of_block(q, c, k, min_sim), HIT)
-    q_count = queries.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(QUERY_BLOCK))).cast("int").alias("_qb"))
-    c_count = chunks.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(CHUNK_BLOCK))).cast("int").alias("_cb"))
+    q_count = queries.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(q_rows))).cast("int").alias("_qb"))
+    c_count = chunks.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(c_rows))).cast("int").alias("_cb"))
     grid = q_count.join(c_count, keys)
     left = queries.join(grid, keys).select(
         *keys, "query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.col("_qb")).cast("int").alias("_j"),
@@ -77,7 +131,7 @@ def _block_join(queries: DataFrame, chunks: DataFrame, keys: list[str], k: int,
         *[F.col(c).alias(c) for c in (*keys, "chunk_id", "embedding")], F.pmod(F.xxhash64("chunk_id"), F.col("_cb")).cast("int").alias("_i"),
         F.explode(F.sequence(F.lit(0), F.col("_qb") - 1)).alias("_j"))
     by = [*keys, "_i", "_j"]
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(
         lambda q, c: best_of_block(q, c, k, min_sim), HIT)
 
 
@@ -128,17 +182,19 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, keys: list[str] |
                 min_sim: float | None = None, cells: int | None = None) -> DataFrame:
     """RET-3: exact best ``k`` by cosine; ``keys`` are scope columns that must agree.
 
-    Without scope columns, many chunks are put into cells around pivots. With the
+    With ``cells``, chunks are put into that many cells around pivots. With the
     distance of the query to a pivot and the radius of its cell, the triangle
     inequality bounds the k-th distance from above and each cell from below, and
-    cells that cannot hold a hit are left out. The result stays exact. A cell is
-    much larger than ``k``, so a block passes on a small share of its pairs.
+    cells that cannot hold a hit are left out. The result stays exact. It pays
+    where vectors lie in clusters; a question visits nearly all cells of others,
+    and every visit brings ``k`` rows, so cells are not taken by default.
+
+    The chunks are written once, as their number and size are asked for first.
     """
     keys = keys or []
     q, c = _solid(queries, chunks, keys)
-    if not keys and cells is None:
-        cells = min(MAX_CELLS, c.count() // (CELL_PER_HIT * k))
-    if keys or cells < 2:
+    c = cut_lineage(c)
+    if keys or not cells or cells < 2:
         return _final(_block_join(q, c, keys, k, min_sim), k)
     pivots = _pivots(c, cells)
     placed = with_cell(c, pivots)
@@ -162,6 +218,7 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, keys: list[str] |
 def ann_topk(queries: DataFrame, chunks: DataFrame, k: int, cells: int = 32, probes: int = 4) -> DataFrame:
     """RET-4: approximate search in the ``probes`` nearest cells, scores exact."""
     q, c = _solid(queries, chunks, [])
+    c = cut_lineage(c)
     pivots = _pivots(c, cells)
     placed = with_cell(c, pivots).drop("far")
     hits = _block_join(_visits(q, pivots, lambda d: np.argsort(d, kind="stable")[:probes]), placed, ["cell"], k, None)
