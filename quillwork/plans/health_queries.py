@@ -10,6 +10,7 @@ from ..operators import health as he
 from ..operators import search as se
 from ..operators import vectors as ve
 from ..operators.textmatch import contains_join
+from ..session import cut_lineage
 from .inputs import BOTH, SPLIT
 from .registry import query
 from .search_queries import rounded, visible, whole_search
@@ -125,8 +126,9 @@ def _(fx):
 def _(fx):
     chunks = visible(fx)
     questions = fx.v_question.select("query_id", "question", "embedding")
-    vec, bm = ve.vector_topk(questions, chunks, se.CHANNEL_TOP), se.bm25_topk(questions, chunks)
-    fused = se.rrf(vec, bm)
+    # each channel is ranked by itself and in the fusions, so its few rows are kept
+    vec, bm = cut_lineage(ve.vector_topk(questions, chunks, se.CHANNEL_TOP)), cut_lineage(se.bm25_topk(questions, chunks))
+    fused = cut_lineage(se.rrf(vec, bm))
     full = se.hybrid_search(questions, chunks, fused=fused)
     rankings = None
     for name, df in {"vector": vec, "bm25": bm, "rrf": fused, "rrf_rerank": full}.items():
