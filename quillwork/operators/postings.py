@@ -20,12 +20,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import new_folder
+from ..session import cut_lineage, new_folder
 from .scan import top_per_group
-from .search import B, CHANNEL_TOP, K1, SCORE_DIGITS, Tokenizer, default_tokenizer, passage, query_terms
+from .search import B, CHANNEL_TOP, K1, SCORE_DIGITS, Tokenizer, default_tokenizer, fitting, passage, query_terms
 
 SEGMENT = 128   # ids of a segment
 BUCKETS = 16    # folders of the postings, by term
+LISTED = 1000   # questions that may be listed beside a segment
 SLACK = 1e-7    # covers the rounding of scores
 
 
@@ -37,12 +38,13 @@ class Index:
     buckets: int = BUCKETS
     schemas: dict[str, StructType] = field(default_factory=dict)
 
-    def write(self, df: DataFrame, part: str, by_bucket: bool = False) -> DataFrame:
-        """Keep ``df`` as a part; a large bucket becomes several files, small ones share tasks."""
+    def write(self, df: DataFrame, part: str, by_bucket: bool = False, rebalance: bool = True) -> DataFrame:
+        """Keep ``df`` as a part; a large bucket becomes several files, small ones share tasks. Without ``rebalance``
+        rows are not moved, and each task writes a file a bucket."""
         self.schemas[part] = df.schema
         if by_bucket:
             order = [c for c in ("bucket", *self.keys, "term", "segment") if c in df.columns]
-            df.hint("rebalance", "bucket").sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{self.folder}/{part}")
+            (df.hint("rebalance", "bucket") if rebalance else df).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{self.folder}/{part}")
         else:
             df.write.parquet(f"{self.folder}/{part}")
         return self.read(df.sparkSession, part)
@@ -69,21 +71,23 @@ def build_index(chunks: DataFrame, folder: str | None = None, keys: list[str] |
                 tokenizer: Tokenizer = default_tokenizer, segment: int = SEGMENT, buckets: int = BUCKETS) -> Index:
     """Write the index of ``chunks (keys, chunk_id, heading_path, content)`` with whole-number ids.
 
-    Chunks without words count for the mean length and have no postings. A text is cut into words once; its words
-    are counted where it is, and blocks gather by term and segment, which bounds a block by ``segment`` ids.
+    Chunks without words count for the mean length and have no postings. Texts are dealt by segment; there they are
+    cut into words once, and blocks gather without another shuffle. The null term of a segment lists its chunks.
     """
     index = Index(folder or new_folder(chunks.sparkSession, "index"), keys or [], buckets)
     keys = index.keys
-    words = chunks.select(*keys, "chunk_id", passage().alias("_p")).select(*keys, "chunk_id", tokenizer("_p").alias("_t"))
-    counted = words.select(*keys, "chunk_id", F.size("_t").alias("dl"), F.explode_outer("_t").alias("term")).groupBy(
-        *keys, "chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-    found = index.write(counted, "frequencies")
-    index.write(found.select(*keys, "chunk_id", "dl").distinct().withColumn("whole", F.lit(0)).groupBy("whole", *keys).agg(
-        F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl")), "corpus")
-    blocks = (_sized(found.filter("term IS NOT NULL"), index).withColumn("segment", F.floor(F.col("chunk_id") / segment))
-              .groupBy(*keys, "term", "segment").agg(F.max(term_weight("tf", "dl", "avg_dl")).alias("best"),
-                                                     F.collect_list(F.struct("chunk_id", "tf", "dl")).alias("entries")))
-    heads = index.write(blocks.withColumn("bucket", index.bucket("term")), "postings", by_bucket=True)
+    texts = chunks.select(*keys, "chunk_id", passage().alias("_p")).withColumn("segment", F.floor(F.col("chunk_id") / segment)).repartition("segment")
+    words = texts.select(*keys, "segment", "chunk_id", tokenizer("_p").alias("_t"))
+    counted = words.select(*keys, "segment", "chunk_id", F.size("_t").alias("dl"), F.explode_outer(
+        F.concat(F.expr("array(cast(null as string))"), "_t")).alias("term")).groupBy(
+        *keys, "segment", "chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    found = index.write(counted.groupBy(*keys, "segment", "term").agg(
+        F.collect_list(F.struct("chunk_id", "tf", "dl")).alias("entries")), "frequencies")
+    index.write(found.filter("term IS NULL").select(*keys, F.inline("entries")).select(*keys, "chunk_id", "dl").distinct()
+                .withColumn("whole", F.lit(0)).groupBy("whole", *keys).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl")), "corpus")
+    best = F.array_max(F.transform("entries", lambda e: term_weight(e["tf"], e["dl"], F.col("avg_dl"))))
+    blocks = _sized(found.filter("term IS NOT NULL"), index).select(*keys, "term", "segment", best.alias("best"), "entries")
+    heads = index.write(blocks.withColumn("bucket", index.bucket("term")), "postings", by_bucket=True, rebalance=False)
     index.write(heads.groupBy("bucket", *keys, "term").agg(F.sum(F.size("entries")).alias("df")), "terms", by_bucket=True)
     return index
 
@@ -101,7 +105,7 @@ def weights(queries: DataFrame, index: Index, tokenizer: Tokenizer = default_tok
 def live_segments(asked: DataFrame, index: Index, k: int) -> DataFrame:
     """``(query_id, segment)`` that may hold one of the best ``k`` chunks of a question."""
     heads = index.read(asked.sparkSession, "postings").select("bucket", *index.keys, "term", "segment", "best")
-    bounds = asked.join(heads, ["bucket", *index.keys, "term"]).groupBy("query_id", "segment").agg(
+    bounds = fitting(asked).join(heads, ["bucket", *index.keys, "term"]).groupBy("query_id", "segment").agg(
         F.sum(F.col("w") * F.col("best")).alias("most"), F.max(F.col("w") * F.col("best")).alias("reached"))
     least = top_per_group(bounds, ["query_id"], [F.desc("reached"), F.col("segment")], k).filter(F.col("rank") == k).select(
         "query_id", F.col("reached").alias("floor"))
@@ -114,10 +118,18 @@ def search_index(queries: DataFrame, index: Index, k: int = CHANNEL_TOP, tokeniz
     ``queries (query_id, question)`` carry the scope columns of the index. Every question is answered in full whatever
     its words; one with no known word has no rows.
     """
-    asked = weights(queries, index, tokenizer)
-    wanted = live_segments(asked, index, k).join(asked, "query_id")
-    blocks = index.read(queries.sparkSession, "postings").select("bucket", *index.keys, "term", "segment", "entries")
-    hits = wanted.join(blocks, ["bucket", *index.keys, "term", "segment"]).select("query_id", "w", "avg_dl", F.inline("entries"))
-    scored = (hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("w") * term_weight("tf", "dl", "avg_dl")), SCORE_DIGITS).alias("bm25"))
-              .filter("bm25 > 0"))
+    asked = cut_lineage(weights(queries, index, tokenizer))
+    named = ["bucket", *index.keys, "term"]
+    blocks = index.read(queries.sparkSession, "postings").select(*named, "segment", "entries").join(
+        fitting(asked.select(*named).distinct()), named, "left_semi")
+    live = live_segments(asked, index, k)
+    if asked.select("query_id").distinct().count() <= LISTED:
+        # blocks are dealt by segment once; there they meet the questions, and scores need no shuffle of their own
+        listed = live.groupBy("segment").agg(F.collect_list("query_id").alias("live"))
+        met = blocks.repartition("segment").join(listed, "segment").join(fitting(asked), named).filter(F.array_contains("live", F.col("query_id")))
+    else:
+        met = live.join(asked, "query_id").join(blocks, [*named, "segment"])
+    hits = met.select("segment", "query_id", "w", "avg_dl", F.inline("entries"))
+    scored = (hits.groupBy("segment", "query_id", "chunk_id").agg(F.round(F.sum(F.col("w") * term_weight("tf", "dl", "avg_dl")), SCORE_DIGITS).alias("bm25"))
+              .filter("bm25 > 0").drop("segment"))
     return top_per_group(scored, ["query_id"], [F.desc("bm25"), F.col("chunk_id")], k)

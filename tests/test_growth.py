@@ -10,7 +10,7 @@ from oracle_check import compare, connect
 from pyspark.sql import functions as F
 
 from quillwork.functions.tables import register_table_functions
-from quillwork.operators import chunking, vectors
+from quillwork.operators import chunking, postings, search, vectors
 from quillwork.plans import load_all
 from quillwork.plans.inputs import TABLES, Inputs
 from quillwork.plans.search_queries import visible
@@ -103,3 +103,17 @@ def test_search_reads_no_blobs(spark):
     plan = visible(fx).select("chunk_id", "content", "filename", "org_id")._jdf.queryExecution().optimizedPlan().toString()
     assert "md5" not in plan and "Aggregate" not in plan
     assert visible(fx).count() == fx.sql("select c.chunk_id from {v_chunk_row} c join {v_user_file} f on f.id = c.file_id and f.status = 1").count()
+
+
+def test_index_moves_postings_once(spark, monkeypatch):
+    """Blocks were built by two shuffles of all postings; a search moved all blocks, then every hit."""
+    chunks = spark.range(3000).selectExpr("id as chunk_id", "'h' as heading_path", "concat('w', id % 7, ' w', id % 11, ' w', id % 7, ' x', id) as content")
+    asked = spark.createDataFrame([(1, "w1 w2 x5"), (2, "w6 w10"), (3, "none")], "query_id bigint, question string")
+    index = postings.build_index(chunks, segment=64)
+    assert index.read(spark, "frequencies").groupBy("segment", "term").count().filter("count > 1").isEmpty()
+    want = sorted(search.bm25_topk(asked, chunks, 9).select("query_id", "chunk_id", "rank").collect())
+    found = postings.search_index(asked, index, 9)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1
+    assert sorted(found.select("query_id", "chunk_id", "rank").collect()) == want
+    monkeypatch.setattr(postings, "LISTED", 0)
+    assert sorted(postings.search_index(asked, index, 9).select("query_id", "chunk_id", "rank").collect()) == want
