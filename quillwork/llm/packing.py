@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .textkit import slices, sql_type
 
 END_ID = 1
-CACHE_WORDS = 500_000
-BLOCK_BYTES = 8 << 20
+CACHE_WORDS = 150_000
+BLOCK_BYTES = 4 << 20
 OUT_IDS = 4 << 20
 BREAK = re.compile("[ \n]")
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")

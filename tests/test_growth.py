@@ -1,5 +1,7 @@
 """Work that grows no faster than its input: long tables, many keys, repeated reads."""
 
+import subprocess
+import sys
 import time
 from pathlib import Path
 
@@ -117,3 +119,18 @@ def test_index_moves_postings_once(spark, monkeypatch):
     assert sorted(found.select("query_id", "chunk_id", "rank").collect()) == want
     monkeypatch.setattr(postings, "LISTED", 0)
     assert sorted(postings.search_index(asked, index, 9).select("query_id", "chunk_id", "rank").collect()) == want
+
+
+def test_packing_workers_stay_small():
+    """A worker that has seen many words stays below the share of an executor it has beside another worker."""
+    code = """if True:
+        import random, resource
+        from quillwork.llm.packing import BLOCK_BYTES, WordCache, vocabulary_path
+        import pyarrow as pa
+        cache, rng = WordCache(vocabulary_path()), random.Random(1)
+        for _ in range(4 * (8 << 20) // BLOCK_BYTES):
+            text = " ".join("".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(BLOCK_BYTES // 60))
+            cache.block(pa.array([text] * 6))
+        print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, check=True)
+    assert int(done.stdout) < 300
