@@ -20,12 +20,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import slices, sql_type
+from .textkit import bound_batches, give_back, slices, sql_type
 
 END_ID = 1
 CACHE_WORDS = 150_000
 BLOCK_BYTES = 4 << 20
 OUT_IDS = 4 << 20
+AT_ONCE = 8192  # words the tokenizer gets at a time; its results take some hundred bytes a token
 BREAK = re.compile("[ \n]")
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Byte-level vocabularies write the bytes that are no visible Latin-1 characters as characters from 256 on.
@@ -71,6 +72,9 @@ class WordCache:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def _encode_plain(self, words: list[str]) -> list[bytes]:
+        return [found for a in range(0, len(words), AT_ONCE) for found in self._encode_groups(words[a:a + AT_ONCE])]
+
+    def _encode_groups(self, words: list[str]) -> list[bytes]:
         groups = [words[i:i + 64] for i in range(0, len(words), 64)]
         out: list[bytes] = []
         texts = [" ".join(g).lower() for g in groups]
@@ -178,6 +182,8 @@ def _task(path: str, longest: int, end_id: int):
             else:
                 ids, totals = cache.block(batch.column(1))
             yield from _rows(batch.column(0), ids, totals, longest)
+        batch = ids = totals = None
+        give_back()
     return run
 
 
@@ -208,6 +214,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", longes
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
+    bound_batches(docs.sparkSession)
     packed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(
         _task(path or vocabulary_path(), longest, end_id),
         f"id {sql_type(docs, id_col)}, start bigint, length bigint, tokens bigint, ids binary")

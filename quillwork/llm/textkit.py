@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ensure_checkpoint_dir
 
 SLICE_BYTES = 2 << 20
+BATCH_BYTES_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +53,21 @@ def slices(batches: Iterator[pa.RecordBatch], text: int = 1, size: int = SLICE_B
                 yield batch.slice(a, b - a)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of bounded bytes too, not of rows alone; what the submitter has set stays."""
+    if spark.conf.get(BATCH_BYTES_KEY, None) is None:
+        spark.conf.set(BATCH_BYTES_KEY, BATCH_BYTES)
+
+
+def give_back() -> None:
+    """Return freed memory of this worker to the machine: workers wait for later tasks beside those that run."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import as_bytes, slices, sql_type
+from .textkit import as_bytes, bound_batches, give_back, slices, sql_type
 
 WINDOW, STRIDE = 32, 24
 GRAM_BINS = 1 << 18
@@ -364,6 +364,8 @@ def _train_task(prior: float):
             labels += batch.column(1).to_pylist()
         net = train_network(texts, np.array(labels, dtype=np.int64), prior)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
+        del texts, net
+        give_back()
     return run
 
 
@@ -402,6 +404,7 @@ def _score_task(shared):
             score = sigmoid(np.array([x.max() for x in found], dtype=np.float64))
             place = [int(x.argmax()) * STRIDE for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(place, pa.int64())], ["id", "score", "word"])
+        give_back()
     return run
 
 
@@ -413,6 +416,7 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
     at. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(
         _score_task(shared), f"id {sql_type(docs, id_col)}, score double, word bigint").select(
         F.col("id").alias(id_col), "score", F.col("word").alias("worst_word"))
@@ -424,10 +428,12 @@ def _filter_task(shared, text: int):
         for batch in slices(batches, text=text, size=SLICE_BYTES):
             worst = [x.max() for x in net.logits(net.read(as_bytes(batch.column(text))))]
             yield batch.filter(pa.array([bool(sigmoid(float(x)) < 0.5) for x in worst]))
+        give_back()
     return run
 
 
 def filter_clean(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that score under one half."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(_filter_task(shared, docs.columns.index(text_col)), docs.schema)

@@ -7,6 +7,7 @@ import io
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -448,3 +449,19 @@ def test_fm_index_counts_and_locates():
         want = [i for i in range(len(text) - len(p) + 1) if (text[i:i + len(p)] == np.array(p) + 1).all()]
         assert sorted(index.locate(np.arange(lo[k], max(lo[k], hi[k]))).tolist()) == want
 
+
+
+def test_texts_reach_python_in_batches_of_bounded_bytes(spark):
+    """10,000 whole texts at a time once took some 50 MB a task, twice: in the executor and in its worker."""
+    from quillwork.llm.textkit import BATCH_BYTES_KEY, bound_batches
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id as doc_id", "repeat('some words ', 1000) as text")
+    before = spark.conf.get(BATCH_BYTES_KEY, None)
+    try:
+        bound_batches(spark)
+        sizes = [r.n for r in docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n bigint").collect()]
+        assert sum(sizes) > 30 << 20 and max(sizes) < 9 << 20
+        spark.conf.set(BATCH_BYTES_KEY, "1m")
+        bound_batches(spark)
+        assert spark.conf.get(BATCH_BYTES_KEY) == "1m"
+    finally:
+        spark.conf.unset(BATCH_BYTES_KEY) if before is None else spark.conf.set(BATCH_BYTES_KEY, before)
