@@ -66,7 +66,9 @@ def _first_pattern() -> str:
     return f"coalesce({tests}, '')"
 
 
-STRIP = r"regexp_replace({t}, r'(?U)^\s+|\s+$', '')"
+# a text is searched for blanks only if it begins or ends with one
+STRIP = (r"(CASE WHEN substring({t}, 1, 1) RLIKE r'(?U)\s' OR substring({t}, -1, 1) RLIKE r'(?U)\s' "
+         r"THEN regexp_replace({t}, r'(?U)^\s+|\s+$', '') ELSE {t} END)")
 
 # name -> (parameters, return type, body); {x} marks a parameter
 FUNCTIONS: dict[str, tuple[list[tuple[str, str]], str, str]] = {
@@ -80,7 +82,7 @@ FUNCTIONS: dict[str, tuple[list[tuple[str, str]], str, str]] = {
         "regexp_replace(regexp_replace(regexp_replace(translate({t}, "
         + quote(FULL_WIDTH) + ", " + quote(HALF_WIDTH)
         + r"), r'(?U)\s+', ' '), '^ | $', ''), r'[。！？?!.]+$', '')"),
-    "is_junk": ([("t", "STRING")], "BOOLEAN", r"regexp_replace({t}, r'(?U)[\s\W_]+', '') = ''"),
+    "is_junk": ([("t", "STRING")], "BOOLEAN", r"NOT {t} RLIKE r'(?U)[^\s\W_]'"),
     "looks_refused": ([("t", "STRING")], "BOOLEAN", _contains_any(REFUSAL_MARKERS)),
     "log_refused": ([("t", "STRING")], "BOOLEAN", _contains_any(REFUSAL_LOG_MARKERS)),
     "needs_agent": (

@@ -223,8 +223,8 @@ def chunk_documents(docs: DataFrame, key: str = "file_id", nodes: str = "nodes")
     """
     staged = docs.select(key, _pieces(_merge_units(_with_paths(_usable(nodes)))).alias("_p"))
     # equal contents are neighbours once sorted; the first of each has the least number
-    by_content = F.array_sort(F.transform("_p", lambda p, i: F.struct(p["content"].alias("content"), i.alias("i"))))
-    first = _let(by_content, lambda s: F.array_sort(F.transform(
+    by_content = F.sort_array(F.transform("_p", lambda p, i: F.struct(p["content"].alias("content"), i.alias("i"))))
+    first = _let(by_content, lambda s: F.sort_array(F.transform(
         F.filter(s, lambda x, k: (k == 0) | (F.get(s, k - 1)["content"] != x["content"])), lambda x: x["i"])))
     kept = F.transform(first, lambda i: F.struct((i + 1).cast("bigint").alias("seq"), F.get("_p", i).alias("p")))
     return staged.select(key, F.explode_outer(kept).alias("x")).filter("x is not null").select(
