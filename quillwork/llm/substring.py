@@ -1,19 +1,21 @@
 """Removal of repeated word windows across documents, with a count-min prefilter.
 
-Pass one reads the texts and notes for each document its anchors: every window of
-``window`` words is represented by the least hash among its runs of ``gram``
-words. Equal windows have equal anchors, so the number of documents with a
-window's anchor is never below the number with the window. Partitions count
-anchors in count-min sketches, whose cells are cut into shards and merged shard
-by shard; the sketch is sized by the number of anchors, and no task holds more
-than a shard of it.
-
-Pass two takes only documents with an anchor estimated in two or more of them and
-groups exactly, by 128-bit hashes. Neighbouring windows under one anchor form a
-stretch, and equal stretches are settled by their smallest document. Only where
-different stretches share an anchor, all places of each in its smallest document
-are grouped window by window. An estimate is never too low, so no repeat is
-lost. Documents with the very words of an earlier one are settled by their digest.
+Pass one reads the texts and notes for each document its stretches: every window of
+``window`` words is represented by its anchor, the least hash among its runs of
+``gram`` words, and neighbouring windows under one anchor form a stretch, kept as its
+anchor and 128 bits of hash of its words. Equal windows have equal anchors, so the
+number of documents with a window's anchor is never below the number with the window.
+Partitions count anchors in count-min sketches, whose cells are cut into shards and
+merged shard by shard; the sketch is sized by the number of anchors, and no task holds
+more than a shard of it.
+
+Pass two takes only stretches whose anchor is estimated in two or more documents and
+groups exactly, by 128-bit hashes; equal stretches are settled by their smallest
+document. Only where different stretches share an anchor, all places of each in its
+smallest document are grouped window by window. An estimate is never too low, so no
+repeat is lost. Documents with the very words of an earlier one are settled by their
+digest. Texts are moved compressed, and only to look at windows and to cut; shuffle
+files of a finished step are removed (``store``).
 """
 
 from __future__ import annotations
@@ -47,20 +49,33 @@ def window_anchors(hashes: np.ndarray, rolling: Rolling, window: int, gram: int)
     return sliding_min(rolling(hashes, gram), window - gram + 1)
 
 
+STRETCH = "anchor: bigint, s1: bigint, s2: bigint, start: int, count: int"
+
+
 def _profile_task(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = Rolling(FIRST)
+        first, second = Rolling(FIRST), Rolling(SECOND)
         for batch in slices(batches):
-            sizes, digests, anchors = [], [], []
+            sizes, digests, out = [], [], []
             for text in as_bytes(batch.column(1)):
                 words = text.split() if text else []
                 sizes.append(len(words))
                 digests.append(hashlib.sha256(b" ".join(words)).digest())
-                found = window_anchors(word_hashes(words), rolling, window, gram) if len(words) >= window else None
-                anchors.append(None if found is None else np.unique(found).view(np.int64))
+                one = word_hashes(words) if len(words) >= window else np.empty(0, dtype=np.uint64)
+                mine = window_anchors(one, first, window, gram)
+                start = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]])[:len(mine)])
+                stop = np.append(start[1:], len(mine))[:len(start)]
+                two = word_hashes(words, 1) if len(start) else one
+                out.append([mine[start], first.stretches(one, start, stop + window - 1),
+                            second.stretches(two, start, stop + window - 1), start, stop - start])
+            ends = np.cumsum([0, *(len(x[0]) for x in out)])
+            anchor, s1, s2, start, count = (np.concatenate(c) for c in zip(*out))
+            found = pa.StructArray.from_arrays(
+                [*(pa.array(c.view(np.int64)) for c in (anchor, s1, s2)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
+                ["anchor", "s1", "s2", "start", "count"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.array(anchors, pa.list_(pa.int64()))], ["id", "key", "n", "digest", "anchors"])
+                [batch.column(0), batch.column(2), batch.column(3), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)], ["id", "key", "row", "n", "digest", "stretches"])
     return run
 
 
@@ -104,46 +119,29 @@ def _merge_shard(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"row": np.full(len(often), key[0], dtype=np.int32), "cell": often})
 
 
-def repeated_anchors(anchors: DataFrame, bits: int) -> DataFrame:
-    """Rows of ``anchors (id, anchor)`` whose anchor is estimated to occur twice or more."""
-    sketch = (anchors.select("anchor").mapInArrow(_sketch_task(bits), "row int, shard bigint, cells binary, counts binary")
+def repeated_anchors(rows: DataFrame, anchors: DataFrame, bits: int) -> DataFrame:
+    """``rows`` whose ``anchor`` is estimated to occur twice or more in ``anchors (anchor)``."""
+    sketch = (anchors.mapInArrow(_sketch_task(bits), "row int, shard bigint, cells binary, counts binary")
               .groupBy("row", "shard").applyInPandas(_merge_shard, "row int, cell bigint"))
     often = store(sketch, "sketch")
-    out = anchors
     for row in range(ROWS):
-        out = out.withColumn("cell", _cell(row, bits)).join(often.filter(F.col("row") == row).select("cell"), "cell", "left_semi")
-    return out.drop("cell")
+        cells = often.filter(F.col("row") == row).select("cell")
+        rows = rows.join(cells, _cell(row, bits) == F.col("cell"), "left_semi")
+    return rows
 
 
-STRETCH = "anchor: bigint, s1: bigint, s2: bigint, start: int, count: int"
+def _pack_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in slices(batches):
+        packed = pa.array(list(map(packer.compress, as_bytes(batch.column(1)))), pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), packed, batch.column(2)], ["id", "packed", "key"])
 
 
-def _stretch_task(window: int, gram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = Rolling(FIRST), Rolling(SECOND)
-        packer = zstandard.ZstdCompressor(level=3)
-        for batch in slices(batches):
-            texts = as_bytes(batch.column(1))
-            out: list[list[np.ndarray]] = []
-            for text, anchors in zip(texts, batch.column(2)):
-                words = text.split()
-                one = word_hashes(words)
-                mine = window_anchors(one, first, window, gram)
-                start = np.concatenate([[0], np.flatnonzero(mine[1:] != mine[:-1]) + 1])
-                stop = np.append(start[1:], len(mine))
-                asked = np.isin(mine[start], np.asarray(anchors.values).view(np.uint64))
-                start, stop = start[asked], stop[asked]
-                out.append([mine[start], first.stretches(one, start, stop + window - 1),
-                            second.stretches(word_hashes(words, 1), start, stop + window - 1), start, stop - start])
-            ends = np.cumsum([0, *(len(x[0]) for x in out)])
-            anchor, s1, s2, start, count = (np.concatenate(c) for c in zip(*out))
-            found = pa.StructArray.from_arrays(
-                [*(pa.array(c.view(np.int64)) for c in (anchor, s1, s2)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
-                ["anchor", "s1", "s2", "start", "count"])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(3), batch.column(4), pa.array([packer.compress(t) for t in texts], pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)], ["id", "key", "row", "packed", "stretches"])
-    return run
+def _with_texts(texts: DataFrame, rows: DataFrame, window: int) -> DataFrame:
+    """``rows (id, key, ...)`` with their text, once for each, compressed before it is moved."""
+    long_ = texts.filter(F.col("id").isNotNull() & (F.octet_length("text") >= 2 * window - 1))
+    packed = long_.select("id", "text", "key").mapInArrow(_pack_task, f"id {sql_type(texts, 'id')}, packed binary, key bigint")
+    return packed.join(rows, ["id", "key"]).dropDuplicates(["id", "key"])
 
 
 def _unpacked(column: pa.Array) -> list[bytes]:
@@ -201,24 +199,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     kind = sql_type(docs, id_col)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
-    profile = store(texts.select("id", "text", "key").mapInArrow(
-        _profile_task(window, gram), f"id {kind}, key bigint, n bigint, digest binary, anchors array<bigint>"), "profile")
+    profile = store(texts.select("id", "text", "key", F.monotonically_increasing_id().alias("row")).mapInArrow(
+        _profile_task(window, gram), f"id {kind}, key bigint, row bigint, n bigint, digest binary, "
+        f"stretches array<struct<{STRETCH}>>"), "profile")
     long_ = profile.filter(F.col("n") >= window)
 
     # documents with the words of an earlier one
     repeated = long_.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
     copies = long_.join(repeated, "digest").filter("id > first").select("id", "key").distinct()
-    fresh = long_.filter("id IS NOT NULL").join(copies, ["id", "key"], "left_anti")
+    fresh = long_.filter("id IS NOT NULL").groupBy("id", "key").agg(F.min("row").alias("row")).join(copies, ["id", "key"], "left_anti")
+    fresh = store(fresh, "fresh")
 
-    total = fresh.agg(F.sum(F.size("anchors"))).first()[0] or 0
+    anchors = F.array_distinct("stretches.anchor")
+    total = long_.agg(F.sum(F.size(anchors))).first()[0] or 0
     bits = max(SHARD_BITS, int(4 * total).bit_length())
-    wanted = (repeated_anchors(fresh.select("id", "key", F.explode("anchors").alias("anchor")), bits)
-              .groupBy("id", "key").agg(F.collect_set("anchor").alias("anchors")))
-    hit = texts.join(wanted, ["id", "key"]).dropDuplicates(["id", "key"]).select(
-        "id", "text", "anchors", "key", F.monotonically_increasing_id().alias("row"))
-    hit = store(hit.mapInArrow(_stretch_task(window, gram), f"id {kind}, key bigint, row bigint, packed binary, "
-                               f"stretches array<struct<{STRETCH}>>"), "hits")
-    stretches = hit.select("id", "row", F.explode("stretches").alias("s")).select("id", "row", "s.*")
+    likely = repeated_anchors(long_.filter("id IS NOT NULL").select("row", F.inline("stretches")),
+                              long_.select(F.explode(anchors).alias("anchor")), bits)
+    stretches = store(likely.join(fresh.select("row", "id"), "row"), "stretches")
     classes = store(stretches.groupBy("anchor", "s1", "s2").agg(F.min("id").alias("first"), F.max("id").alias("last")), "classes")
     kinds = classes.groupBy("anchor").agg((F.count("*") > 1).alias("mixed"))
     known = classes.join(kinds, "anchor").filter("first < last OR mixed").drop("last")
@@ -227,15 +224,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    .select("row", "start", "count", F.expr("id > first").alias("settled")), "placed")
     settled = placed.filter("settled").drop("settled")
     asked = placed.filter("NOT settled").groupBy("row").agg(F.collect_list(F.struct("start", "count")).alias("stretches"))
-    windows = store(hit.select("id", "row", "packed").join(asked, "row").select("id", "packed", "stretches", "row")
+    windows = store(_with_texts(texts, fresh.join(asked, "row"), window).select("id", "packed", "stretches", "row")
                     .mapInArrow(_window_task(window), f"id {kind}, row bigint, w1 bigint, w2 bigint, start int"), "windows")
     earliest = (windows.groupBy("w1", "w2").agg(F.min("id").alias("first"), F.max("id").alias("last"))
                 .filter("first < last").drop("last"))
     later = windows.join(earliest, ["w1", "w2"]).filter("id > first").select("row", "start", F.lit(1).alias("count"))
     found = settled.union(later).groupBy("row").agg(F.collect_set(F.struct("start", "count")).alias("found"))
-    cut = (hit.drop("stretches").join(found, "row").select("id", "packed", "found", "key")
+    cut = (_with_texts(texts, fresh.join(found, "row"), window).select("id", "packed", "found", "key")
            .mapInArrow(_cut_task(window), f"id {kind}, key bigint, n_removed bigint, kept string"))
     gone = copies.select("id", "key", F.lit(None).cast("bigint").alias("n_removed"), F.lit("").alias("kept"))
-    out = profile.drop("anchors").join(cut.union(gone), ["id", "key"], "left")
+    out = profile.drop("stretches", "row").join(cut.union(gone), ["id", "key"], "left")
     n_removed = F.when(F.col("kept").isNull(), F.lit(0).cast("bigint")).otherwise(F.coalesce("n_removed", "n"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_words"), n_removed.alias("n_removed"), "kept", "digest")

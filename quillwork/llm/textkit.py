@@ -16,6 +16,7 @@ from ..session import ensure_checkpoint_dir
 
 SLICE_BYTES = 2 << 20
 BATCH_BYTES_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,9 +32,20 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table to the shared folder and read again, so that a lost executor redoes nothing before."""
-    folder = new_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+    """``df`` written as a table to the shared folder and read again, so that a lost executor redoes nothing before.
+
+    Its shuffle files go once it is written, not when the driver happens to collect its garbage; what the submitter has
+    set stays.
+    """
+    folder, conf = new_folder(df.sparkSession, name), df.sparkSession.conf
+    unset = conf.get(CLEANUP_KEY, None) is None
+    if unset:
+        conf.set(CLEANUP_KEY, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        if unset:
+            conf.unset(CLEANUP_KEY)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

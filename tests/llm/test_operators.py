@@ -465,3 +465,24 @@ def test_texts_reach_python_in_batches_of_bounded_bytes(spark):
         assert spark.conf.get(BATCH_BYTES_KEY) == "1m"
     finally:
         spark.conf.unset(BATCH_BYTES_KEY) if before is None else spark.conf.set(BATCH_BYTES_KEY, before)
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """Shuffle files of finished steps once stayed until the driver collected its garbage, and filled the disk of op4."""
+    import time
+
+    from quillwork.llm.textkit import store
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files() -> set[str]:
+        found = manager.getAllFiles()
+        return {name for name in (found.apply(i).getName() for i in range(found.size())) if name.startswith("shuffle_")}
+
+    before, key = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    query = spark.range(10_000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).agg(F.collect_set("id").alias("ids"))
+    held = store(query, "held")
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(key, None) is None
+    assert held.count() == 7 and query.count() == 7
